@@ -54,15 +54,15 @@ class FirstFit:
         return self.room[self.leaves + container]
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_items: int, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(container_id, items, used, unused) with items = [(item, part, size)] of each container.
 
     ``part`` numbers the pieces of an item that was cut, 0 for all others. One shuffle carries key,
-    part and size only.
+    part and size only. ``n_items`` is the number of items, about; it sets the number of groups.
     """
     kind = sizes.schema[key].dataType.simpleString()
     rows = sizes.select(F.col(key).alias("item"), F.col(size).cast("bigint").alias("size")).where("size > 0")
-    groups = max(1, math.ceil(rows.count() / group_items))
+    groups = max(1, math.ceil(n_items / group_items))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("item", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

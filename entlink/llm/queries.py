@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entlink.llm import cooccur, frequent, packing, termfreq, tokenizer, topn
+from entlink.llm import canonical, cooccur, frequent, packing, termfreq, tokenizer, topn
 from entlink.session import mention_key, once, table
 
 
+def _unresolved(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "page_links").where(F.col("canonical_target").isNull() & F.col("normalized_target").isNotNull())
+    return once(links.select("link_id", "normalized_target"), "link_id").where(F.length(F.translate("normalized_target", " \t", "")) > 0)
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    names = canonical.reference_names(table(spark, d, "titles"), table(spark, d, "redirects"))
+    return canonical.map_values(_unresolved(spark, d), "link_id", "normalized_target", names)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The title that each unresolved link target means, -1 if none."""
+    return _mapped(spark, d).select("link_id", "entity_id")
+
+
 def _link_records(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "entity_links").select("record_id", F.col("links.src").alias("pages"))
     return once(records, "record_id")
@@ -91,11 +106,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """All documents in containers of 4,096 tokens."""
-    counts = tokenizer.token_counts(table(spark, d, "documents"))
-    return packing.pack(counts, "doc_id", "n_tokens", 4096)
+    docs = table(spark, d, "documents")
+    return packing.pack(tokenizer.token_counts(docs), "doc_id", "n_tokens", 4096, docs.count())
 
 
 def queries() -> dict:
     """Every query of this package by name."""
-    every = [p2_found, p2_pairs, p3_found, p3_ranked, p4_found, p4_weights, p5_found, p5_counts, p7_ids, p8_containers]
+    every = [p1_found, p2_found, p2_pairs, p3_found, p3_ranked, p4_found, p4_weights, p5_found, p5_counts, p7_ids, p8_containers]
     return {f.__name__: f for f in every}
