@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entlink.llm import canonical, cooccur, frequent, packing, termfreq, tokenizer, topn
+from entlink.llm import canonical, cooccur, frequent, packing, readability, termfreq, tokenizer, topn
 from entlink.session import mention_key, once, table
 
 
 def _unresolved(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "page_links").where(F.col("canonical_target").isNull() & F.col("normalized_target").isNotNull())
-    return once(links.select("link_id", "normalized_target"), "link_id").where(F.length(F.translate("normalized_target", " \t", "")) > 0)
+    links = links.select("link_id", "normalized_target").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "link_id")  # the search is long: no coalescing
+    return once(links, "link_id").where(F.length(F.translate("normalized_target", " \t", "")) > 0)
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +111,14 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenizer.token_counts(docs), "doc_id", "n_tokens", 4096, docs.count())
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The English documents of level 4 or 5."""
+    english = table(spark, d, "documents").where("lang = 'en' and text is not null")
+    levels = readability.fit(table(spark, d, "graded_texts"))
+    return readability.reading_levels(english, levels).where("reading_level >= 4").select("doc_id")
+
+
 def queries() -> dict:
     """Every query of this package by name."""
-    every = [p1_found, p2_found, p2_pairs, p3_found, p3_ranked, p4_found, p4_weights, p5_found, p5_counts, p7_ids, p8_containers]
+    every = [p1_found, p2_found, p2_pairs, p3_found, p3_ranked, p4_found, p4_weights, p5_found, p5_counts, p7_ids, p8_containers, p9_found]
     return {f.__name__: f for f in every}
