@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,23 +55,42 @@ def _hashable(field: T.StructField) -> Column:
     return F.to_json(F.col(field.name)) if _has_map(field.dataType) else F.col(field.name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is used.
+    Only where that is unset (tests on one machine) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="entlink-checkpoint-")
-        sc.setCheckpointDir(where)
+    sc = spark.sparkContext
+    where = sc._jsc.sc().getCheckpointDir()
+    if where.isDefined():
+        return where.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="entlink-checkpoint-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: no lineage, known size, columns and filters pushed down."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """``df`` with columns of a new identity, to be combined with another frame of the same origin."""
+    return df.select([F.col(c).alias(c) for c in df.columns])
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows; otherwise Spark joins by shuffling."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -77,3 +99,20 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def env_path(name: str, default: str) -> str:
     """A path parameter from the environment."""
     return os.environ.get(name, default)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session's executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="entlink-code-")) / "entlink.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
