@@ -73,12 +73,17 @@ def capitalize_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
+def trim_controls(c: Column) -> Column:
+    """Without blanks and control characters (up to U+0020) at either end."""
+    return F.regexp_replace(c, r"^[\x01-\x20]+|[\x01-\x20]+$", "")
+
+
 def process_target(c: Column, entities: bool = True) -> Column:
     """A link target as a title: no comments, no ref tags, blanks for underscores, first letter large, percent signs decoded where possible."""
     c = unescape(c) if entities else c
     c = remove_tags(F.regexp_replace(c, "<!--[^-]*-->", ""), ["ref"])
-    c = capitalize_first(F.trim(F.replace(c, F.lit("_"), F.lit(" "))))
-    return F.trim(F.when(F.contains(c, F.lit("%")), F.coalesce(F.try_url_decode(c), c)).otherwise(c))
+    c = capitalize_first(trim_controls(F.replace(c, F.lit("_"), F.lit(" "))))
+    return trim_controls(F.when(F.contains(c, F.lit("%")), F.coalesce(F.try_url_decode(c), c)).otherwise(c))
 
 
 def remove_hash(c: Column) -> Column:

@@ -25,7 +25,7 @@ def query(f):
 
 
 def _r(c: str, digits: int = 6):
-    return F.round(c, digits).alias(c)
+    return (F.round(c, digits) + F.lit(0.0)).alias(c)  # no negative zero
 
 
 def _joined(c: str):
