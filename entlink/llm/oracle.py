@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-KEY = "trim(regexp_replace(lower(mention), '[ \\t\\x{00A0}]+', ' ', 'g'))"
+KEY = "trim(regexp_replace(lower(mention), '[ \\t\\x{00A0}]+', ' ', 'g'), ' ')"
 
 _PAIRS = """
 WITH rec AS (SELECT record_id, any_value(links) AS links FROM entity_links GROUP BY record_id),
