@@ -43,7 +43,7 @@ def _codes(values: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
             step = max(1, BLOCK // len(a))
             for k in range(0, len(rows), step):
                 items = values[starts[rows[k : k + step], None] + np.arange(m)]
-                yield ((items[:, a] << 32) | items[:, b]).ravel()
+                yield ((items[:, a] << 32) | (items[:, b] & 0xFFFFFFFF)).ravel()
         else:
             for row in rows:
                 items = values[starts[row] : ends[row]]
@@ -53,7 +53,7 @@ def _codes(values: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
                     high = min(m - 1, low + step)
                     a = np.repeat(np.arange(low, high), m - 1 - np.arange(low, high))
                     b = np.concatenate([np.arange(i + 1, m) for i in range(low, high)])
-                    yield (items[a] << 32) | items[b]
+                    yield (items[a] << 32) | (items[b] & 0xFFFFFFFF)
                     low = high
 
 

@@ -76,7 +76,7 @@ def undress(s: str) -> str:
         if "%" in s and _PERCENT.search(s):
             s = unquote(s, errors="replace")
     if not s.isascii() and _MISREAD.search(s):
-        s = _reread(s)
+        s = _MISREAD.sub(lambda m: _reread(m[0]), s)
     s = fold(s).replace("_", " ").replace("⁄", "/")
     while True:
         before = s
