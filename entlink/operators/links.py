@@ -50,20 +50,24 @@ def relatedness(inlinks: DataFrame, articles: int = ARTICLES) -> DataFrame:
     return pairs.select("e1", "e2", "common", relatedness_of(F.col("n1"), F.col("n2"), F.col("common"), articles).alias("rel"))
 
 
-def candidate_pairs(cands: DataFrame) -> DataFrame:
-    """(doc_id, pos1, n1, entity1, pos2, n2, entity2): candidates of different mentions of a text, both orders."""
-    a = cands.select("doc_id", F.col("pos").alias("pos1"), F.col("n").alias("n1"), F.col("entity_id").alias("entity1"))
-    b = cands.select("doc_id", F.col("pos").alias("pos2"), F.col("n").alias("n2"), F.col("entity_id").alias("entity2"))
-    return a.join(b, "doc_id").where("pos1 <> pos2 or n1 <> n2")
+def listed_pairs(cands: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, pos1, n1, entity1, pos2, n2, entity2, columns...): candidates of different mentions of a text, both orders, whose entities are listed in ``values``(e1 < e2, columns...) or equal.
 
-
-def with_pair_value(pairs: DataFrame, values: DataFrame, value: str, same: Column, absent: Column) -> DataFrame:
-    """``pairs`` with the value of (entity1, entity2) from a frame keyed by e1 < e2; ``same`` for equal entities, ``absent`` for unlisted pairs."""
-    keyed = pairs.withColumn("e1", F.least("entity1", "entity2")).withColumn("e2", F.greatest("entity1", "entity2"))
-    joined = keyed.join(values.select("e1", "e2", F.col(value).alias("__v")), ["e1", "e2"], "left")
-    return joined.withColumn(value, F.when(F.col("entity1") == F.col("entity2"), same).otherwise(F.coalesce("__v", absent))).drop("__v", "e1", "e2")
+    The columns are NULL for equal entities. Pairs of entities are looked up once for each text, before
+    they are spread over the mentions; pairs that are not listed are never made.
+    """
+    own = cands.select("doc_id", "entity_id").distinct()
+    a, b = own.select("doc_id", F.col("entity_id").alias("e1")), own.select("doc_id", F.col("entity_id").alias("e2"))
+    up = a.join(b, "doc_id").where("e1 < e2").join(values.select("e1", "e2", *columns), ["e1", "e2"])
+    up = up.select("doc_id", F.col("e1").alias("entity1"), F.col("e2").alias("entity2"), *columns)
+    down = up.select("doc_id", F.col("entity2").alias("entity1"), F.col("entity1").alias("entity2"), *columns)
+    same = own.select("doc_id", F.col("entity_id").alias("entity1"), F.col("entity_id").alias("entity2"), *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in columns])
+    every = up.unionByName(down).unionByName(same)
+    for k in ("1", "2"):
+        every = every.join(cands.select("doc_id", F.col("entity_id").alias(f"entity{k}"), F.col("pos").alias(f"pos{k}"), F.col("n").alias(f"n{k}")), ["doc_id", f"entity{k}"])
+    return every.where("pos1 <> pos2 or n1 <> n2").select("doc_id", "pos1", "n1", "entity1", "pos2", "n2", "entity2", *columns)
 
 
 def related_pairs(cands: DataFrame, values: DataFrame) -> DataFrame:
-    """Candidate pairs with ``rel``."""
-    return with_pair_value(candidate_pairs(cands), values, "rel", F.lit(1.0), F.lit(0.0))
+    """Candidate pairs with a relatedness ``rel``; pairs without a common in-link have none."""
+    return listed_pairs(cands, values, "rel").withColumn("rel", F.coalesce("rel", F.lit(1.0)))

@@ -118,8 +118,10 @@ _CTE |= {
     "pop": "SELECT entity_id, count(*) + 1 AS popularity, CAST(sum(freq) + 1 AS BIGINT) AS popularity_freq FROM inl GROUP BY 1",
     "coc": "SELECT a.entity_id AS e1, b.entity_id AS e2, count(*) AS common, CAST(sum(a.freq * b.freq) AS BIGINT) AS weighted FROM inl a JOIN inl b ON a.src = b.src AND a.entity_id < b.entity_id GROUP BY 1, 2",
     "rel": f"SELECT e1, e2, common, 1 - (ln(greatest(a.popularity, b.popularity) - 1) - ln(common)) / (ln({ARTICLES}.0::DOUBLE) - ln(least(a.popularity, b.popularity) - 1)) AS rel FROM coc JOIN pop a ON e1 = a.entity_id JOIN pop b ON e2 = b.entity_id",
-    "pair": "SELECT a.doc_id, a.pos AS pos1, a.n AS n1, a.entity_id AS entity1, b.pos AS pos2, b.n AS n2, b.entity_id AS entity2 FROM scored a JOIN scored b ON a.doc_id = b.doc_id AND (a.pos <> b.pos OR a.n <> b.n)",
-    "rpair": "SELECT pair.*, CASE WHEN entity1 = entity2 THEN 1.0::DOUBLE ELSE coalesce(rel, 0) END AS rel FROM pair LEFT JOIN rel ON least(entity1, entity2) = e1 AND greatest(entity1, entity2) = e2",
+    "own": "SELECT DISTINCT doc_id, entity_id FROM scored",
+    "epair": "SELECT a.doc_id, e1, e2, common, rel FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id JOIN rel ON e1 = a.entity_id AND e2 = b.entity_id",
+    "bpair": "SELECT doc_id, e1, e2, common, rel FROM epair UNION ALL SELECT doc_id, e2, e1, common, rel FROM epair UNION ALL SELECT doc_id, entity_id, entity_id, NULL, 1.0::DOUBLE FROM own",
+    "rpair": "SELECT p.doc_id, a.pos AS pos1, a.n AS n1, e1 AS entity1, b.pos AS pos2, b.n AS n2, e2 AS entity2, common, rel FROM bpair p JOIN scored a ON p.doc_id = a.doc_id AND e1 = a.entity_id JOIN scored b ON p.doc_id = b.doc_id AND e2 = b.entity_id WHERE a.pos <> b.pos OR a.n <> b.n",
     "down": "SELECT doc_id, pos AS pos1, n AS n1, -1 AS entity1, pos AS pos2, n AS n2, entity_id AS entity2, CASE WHEN s > 0 THEN compat / s ELSE 1.0::DOUBLE / k END AS w FROM (SELECT *, sum(compat) OVER (PARTITION BY doc_id, pos, n) AS s, count(*) OVER (PARTITION BY doc_id, pos, n) AS k FROM scored)",
     "graph": "SELECT * FROM down UNION ALL SELECT doc_id, pos1, n1, entity1, pos2, n2, entity2, rel / sum(rel) OVER (PARTITION BY doc_id, pos1, n1, entity1) FROM rpair WHERE rel > 1e-5",
     "node": "SELECT doc_id, pos, n, -1 AS entity, importance AS prior FROM ment UNION ALL SELECT doc_id, pos, n, entity_id, 0 FROM scored",
@@ -141,33 +143,33 @@ for _k in range(1, 4):
     _CTE[f"hang{_k}"] = f"SELECT doc_id, p - coalesce(c, 0) AS h FROM (SELECT doc_id, sum(p) AS p FROM {_b} GROUP BY 1) JOIN (SELECT doc_id AS d2, sum(come) AS c FROM flow{_k} GROUP BY 1) ON doc_id = d2"
     _CTE[f"step{_k}"] = f"SELECT s.doc_id, s.pos, s.n, s.entity, prior, 0.1::DOUBLE * prior + 0.9::DOUBLE * (coalesce(come, 0) + h * prior) AS p FROM {_b} s JOIN hang{_k} h ON s.doc_id = h.doc_id LEFT JOIN flow{_k} f ON s.doc_id = f.doc_id AND s.pos = f.pos AND s.n = f.n AND s.entity = f.entity"
 
-_COCITED = """SELECT pair.*, l, coalesce(x.popularity, 1) AS p1, coalesce(y.popularity, 1) AS p2, CASE WHEN entity1 = entity2 THEN coalesce(x.popularity, 1) ELSE coalesce(common, 0) END AS c
-FROM pair JOIN lsize ON pair.doc_id = lsize.doc_id LEFT JOIN pop x ON entity1 = x.entity_id LEFT JOIN pop y ON entity2 = y.entity_id LEFT JOIN coc ON least(entity1, entity2) = e1 AND greatest(entity1, entity2) = e2"""
-_CTE["cocited"] = _COCITED
+_CTE["cocited"] = """SELECT p.*, l, coalesce(x.popularity, 1) AS p1, coalesce(y.popularity, 1) AS p2, coalesce(common, x.popularity, 1) AS c
+FROM rpair p JOIN lsize ON p.doc_id = lsize.doc_id LEFT JOIN pop x ON entity1 = x.entity_id LEFT JOIN pop y ON entity2 = y.entity_id"""
+_CHANCE = f"(ln({PAIRS}::DOUBLE) - 2 * ln({LINKS}::DOUBLE))"
 _SCORERS = {
-    "basic": ("SELECT s.*, compat / l AS loc FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id", "SELECT r.*, 2 * rel / (l * (l - 1)) AS pr FROM rpair r JOIN lsize ON r.doc_id = lsize.doc_id"),
+    "basic": ("SELECT s.*, compat / l AS loc, 0 AS absent FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id", "SELECT r.*, 2 * rel / (l * (l - 1)) AS pr FROM rpair r JOIN lsize ON r.doc_id = lsize.doc_id"),
     "full": (
-        "SELECT s.*, ln(freq / name_freq::DOUBLE) / l AS loc FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id",
-        f"SELECT *, 2 * CASE WHEN c <= 0 OR c / p1::DOUBLE / p2 <= {PAIRS / LINKS / LINKS!r}::DOUBLE THEN ln({PAIRS}::DOUBLE) - 2 * ln({LINKS}::DOUBLE) ELSE ln(c) - ln(p1) - ln(p2) END / (l * (l - 1)) AS pr FROM cocited",
+        f"SELECT s.*, ln(freq / name_freq::DOUBLE) / l AS loc, 2 * {_CHANCE} / (l * greatest(l - 1, 1)) AS absent FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id",
+        f"SELECT *, 2 * CASE WHEN c <= 0 OR c / p1::DOUBLE / p2 <= {PAIRS / LINKS / LINKS!r}::DOUBLE THEN {_CHANCE} ELSE ln(c) - ln(p1) - ln(p2) END / (l * (l - 1)) AS pr FROM cocited",
     ),
     "maxent": (
-        "SELECT s.*, ln(coalesce(popularity, 1)) AS loc FROM scored s LEFT JOIN pop ON s.entity_id = pop.entity_id",
+        f"SELECT s.*, ln(coalesce(popularity, 1)) AS loc, -ln({ARTICLES}::DOUBLE) AS absent FROM scored s LEFT JOIN pop ON s.entity_id = pop.entity_id",
         f"SELECT *, CASE WHEN c <= p1 * p2 // {ARTICLES} THEN -ln({ARTICLES}::DOUBLE) ELSE ln(c) - ln(p1) - ln(p2) END AS pr FROM cocited",
     ),
 }
+_CTE["side"] = "SELECT DISTINCT doc_id, pos, n FROM scored"
 for _name, (_loc, _pr) in _SCORERS.items():
     _CTE[f"{_name}_loc"], _CTE[f"{_name}_pr"] = _loc, _pr
-    _CTE[f"{_name}_t"] = f"SELECT p.*, loc FROM {_name}_pr p JOIN {_name}_loc s ON p.doc_id = s.doc_id AND pos1 = s.pos AND n1 = s.n AND entity1 = s.entity_id"
+    _CTE[f"{_name}_b1"] = f"SELECT s.doc_id, s.pos AS pos1, s.n AS n1, s.entity_id AS entity1, o.pos AS pos2, o.n AS n2, loc, absent, loc AS base FROM {_name}_loc s JOIN side o ON s.doc_id = o.doc_id AND (s.pos <> o.pos OR s.n <> o.n)"
+    _CTE[f"{_name}_b2"] = (
+        f"SELECT t.doc_id, t.pos1, t.n1, t.entity1, t.pos2, t.n2, loc, absent, loc + h.s - b.v AS base FROM {_name}_b1 t"
+        f" JOIN (SELECT doc_id, pos2, n2, entity2, sum(v) AS s FROM {_name}_m1 GROUP BY 1, 2, 3, 4) h ON t.doc_id = h.doc_id AND t.pos1 = h.pos2 AND t.n1 = h.n2 AND t.entity1 = h.entity2"
+        f" JOIN {_name}_m1 b ON t.doc_id = b.doc_id AND b.pos1 = t.pos2 AND b.n1 = t.n2 AND b.pos2 = t.pos1 AND b.n2 = t.n1 AND b.entity2 = t.entity1"
+    )
     for _k in (1, 2):
-        _prev = f"{_name}_m{_k - 1}"
-        _near = f"coalesce(h.s, 0) - coalesce(b.v, 0)" if _k > 1 else "0"
-        _joins = (
-            f" JOIN (SELECT doc_id, pos2, n2, entity2, sum(v) AS s FROM {_prev} GROUP BY 1, 2, 3, 4) h ON t.doc_id = h.doc_id AND t.pos1 = h.pos2 AND t.n1 = h.n2 AND t.entity1 = h.entity2"
-            f" JOIN {_prev} b ON t.doc_id = b.doc_id AND b.pos1 = t.pos2 AND b.n1 = t.n2 AND b.pos2 = t.pos1 AND b.n2 = t.n1 AND b.entity2 = t.entity1"
-            if _k > 1
-            else ""
-        )
-        _CTE[f"{_name}_m{_k}"] = f"SELECT doc_id, pos1, n1, pos2, n2, entity2, v - min(v) OVER (PARTITION BY doc_id, pos1, n1, pos2, n2) AS v FROM (SELECT t.doc_id, t.pos1, t.n1, t.pos2, t.n2, t.entity2, max(loc + pr + {_near}) AS v FROM {_name}_t t{_joins} GROUP BY 1, 2, 3, 4, 5, 6)"
+        _CTE[f"{_name}_a{_k}"] = f"SELECT x.doc_id, pos1, n1, pos2, n2, s.entity_id AS entity2, v FROM (SELECT doc_id, pos1, n1, pos2, n2, max(base + absent) AS v FROM {_name}_b{_k} GROUP BY 1, 2, 3, 4, 5) x JOIN scored s ON x.doc_id = s.doc_id AND pos2 = s.pos AND n2 = s.n"
+        _CTE[f"{_name}_k{_k}"] = f"SELECT b.doc_id, b.pos1, b.n1, b.pos2, b.n2, p.entity2, max(base + pr) AS w FROM {_name}_b{_k} b JOIN {_name}_pr p ON b.doc_id = p.doc_id AND b.pos1 = p.pos1 AND b.n1 = p.n1 AND b.entity1 = p.entity1 AND b.pos2 = p.pos2 AND b.n2 = p.n2 GROUP BY 1, 2, 3, 4, 5, 6"
+        _CTE[f"{_name}_m{_k}"] = f"SELECT doc_id, pos1, n1, pos2, n2, entity2, v - min(v) OVER (PARTITION BY doc_id, pos1, n1, pos2, n2) AS v FROM (SELECT a.doc_id, a.pos1, a.n1, a.pos2, a.n2, a.entity2, greatest(v, coalesce(w, v)) AS v FROM {_name}_a{_k} a LEFT JOIN {_name}_k{_k} k ON a.doc_id = k.doc_id AND a.pos1 = k.pos1 AND a.n1 = k.n1 AND a.pos2 = k.pos2 AND a.n2 = k.n2 AND a.entity2 = k.entity2)"
         _CTE[f"{_name}_f{_k}"] = f"SELECT s.doc_id, pos, n, mention, entity_id, coalesce(h.s, 0) + loc AS score FROM {_name}_loc s LEFT JOIN (SELECT doc_id, pos2, n2, entity2, sum(v) AS s FROM {_name}_m{_k} GROUP BY 1, 2, 3, 4) h ON s.doc_id = h.doc_id AND pos = pos2 AND n = n2 AND entity_id = entity2"
 
 

@@ -98,7 +98,7 @@ def test_relatedness_by_hand(spark):
 def test_walk_by_hand(spark):
     scored = spark.createDataFrame([(1, 0, 1, "m", 5, 0.75), (1, 0, 1, "m", 6, 0.25)], "doc_id bigint, pos int, n int, mention string, entity_id int, compat double")
     mentions = spark.createDataFrame([(1, 0, 1, 1.0)], "doc_id bigint, pos int, n int, importance double")
-    pairs = links.with_pair_value(links.candidate_pairs(scored), spark.createDataFrame([], "e1 int, e2 int, rel double"), "rel", F.lit(1.0), F.lit(0.0))
+    pairs = links.related_pairs(scored, spark.createDataFrame([], "e1 int, e2 int, rel double"))
     graph, nodes = walk.edges(scored, pairs), walk.vertices(mentions, scored)
     ranks = {r.entity: r.p for r in walk.converge(graph, nodes, tolerance=1e-12, most=500).collect()}
     assert ranks[-1] == pytest.approx(0.526316, abs=1e-5) and ranks[5] == pytest.approx(0.355263, abs=1e-5)
