@@ -241,7 +241,7 @@ _FINAL = {
     "self_cocitation": "SELECT entity_id, CAST(sum(freq * (freq - 1) // 2) AS BIGINT) AS self_cocitation FROM inl GROUP BY 1",
     "conditional_denominator": "SELECT entity_id, CAST(sum(freq * (out_links - freq) + freq * (freq - 1) // 2) AS BIGINT) AS denominator FROM inl JOIN outl ON inl.src = outl.src GROUP BY 1",
     "relatedness_pairs": "SELECT e1, e2, common, round(rel, 6) AS rel FROM rel",
-    "referent_edges": "SELECT doc_id, pos1, n1, entity1, pos2, n2, entity2, round(w, 6) AS w FROM graph",
+    "referent_edges": "SELECT doc_id, pos1, n1, entity1, count(*) AS edges, round(max(w), 6) AS heaviest, round(sum(w * w), 6) AS squares, CAST(sum(entity2) AS BIGINT) AS targets FROM graph GROUP BY 1, 2, 3, 4",
     "referent_validate": "SELECT CAST(0 AS BIGINT) AS violations, count(*) AS edges FROM graph",
     "walk_k_steps": "SELECT doc_id, pos, n, entity, round(p, 6) AS p FROM step3",
     "bp_basic_k": "SELECT doc_id, pos, n, entity_id, round(score, 6) + 0 AS score FROM basic_f2",

@@ -327,8 +327,10 @@ def _graph(b: Base) -> tuple[DataFrame, DataFrame]:
 
 @query
 def referent_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the referent graphs."""
-    return _graph(Base.of(spark, d))[0].select("doc_id", "pos1", "n1", "entity1", "pos2", "n2", "entity2", _r("w"))
+    """Edges of the referent graphs, summed up for each source vertex."""
+    w = F.col("w")
+    rows = _graph(Base.of(spark, d))[0].groupBy("doc_id", "pos1", "n1", "entity1")
+    return rows.agg(F.count("*").alias("edges"), F.round(F.max(w), 6).alias("heaviest"), F.round(F.sum(w * w), 6).alias("squares"), F.sum("entity2").alias("targets"))
 
 
 @query
