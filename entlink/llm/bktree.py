@@ -15,7 +15,7 @@ import numpy as np
 #: Longest string that the bit vectors hold; longer entries are kept aside and compared one by one.
 WIDEST = 64
 #: Pairs that are measured at once.
-BLOCK = 200_000
+BLOCK = 16_384
 
 
 def plain_distance(a: str, b: str, most: int) -> int:
