@@ -34,6 +34,8 @@ from entlink.llm.names import ROMAN, undress, words
 NOTHING = -1
 #: Most reference names in one broadcast.
 SHARD = 100_000
+#: Rows that are searched at once.
+TOGETHER = 50_000
 #: Levenshtein distance of the tree search: two edits, one of which may be a swap of neighbours.
 REACH = 3
 #: Words in at least so many names are words of a class (river, castle), not of one name.
@@ -202,6 +204,19 @@ class Matcher:
                 entity[k], score[k] = who.pop(), best
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together to at least ``TOGETHER`` rows: a search of many values costs less for each."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= TOGETHER:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def reference_names(titles: DataFrame, redirects: DataFrame) -> DataFrame:
     """(name, entity): every title and every other name of a title."""
     own = titles.select(F.col("title").alias("name"), F.col("id").cast("bigint").alias("entity"))
@@ -222,7 +237,7 @@ def map_values(rows: DataFrame, key: str, value: str, reference: DataFrame) -> D
         matcher = spark.sparkContext.broadcast(Matcher(sorted(names)))
 
         def run(batches: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in _together(batches):
                 codes, distinct = pd.factorize(pdf["v"])
                 entity, score = matcher.value.match(distinct.tolist())
                 yield pd.DataFrame({"k": pdf["k"], "entity_id": entity[codes], "score": score[codes]})
