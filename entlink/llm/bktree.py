@@ -6,6 +6,10 @@ the bit vectors of one column of each distance matrix are one 64-bit word, and a
 advance all matrices by a column. The triangle inequality leaves out every child whose edge lies
 outside [d - t, d + t], so all entries within the threshold are found. A node without children is
 not measured at all if the sets of its signs and the query's differ too much.
+
+A search for edits in which a swap of two neighbours is one edit goes through the same trees: k such
+edits between strings whose lengths differ by l are at most 2 k - l edits of the Levenshtein distance, as
+l of them are no swaps, and change at most k signs of either set.
 """
 
 from __future__ import annotations
@@ -104,14 +108,19 @@ class BKForest:
             mv = ph & xv
         return score
 
-    def search(self, queries: list[str], thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, entry, distance) of every entry within each query's threshold."""
+    def search(self, queries: list[str], thresholds: np.ndarray, swaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, distance) of every entry within each query's threshold.
+
+        With ``swaps`` the thresholds count a swap of neighbours as one edit; every entry within them is among the
+        results, beside others, and the distance is still Levenshtein's.
+        """
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         sizes = np.array([len(q) for q in queries], np.int64)
         for k in self.long:
             for q in np.flatnonzero(np.abs(sizes - self.length[k]) <= thresholds):
-                d = plain_distance(queries[q], self.entries[k], int(thresholds[q]))
-                if d <= thresholds[q]:
+                most = int(2 * thresholds[q] - abs(sizes[q] - self.length[k]) if swaps else thresholds[q])
+                d = plain_distance(queries[q], self.entries[k], most)
+                if d <= most:
                     found.append((np.array([q]), np.array([k]), np.array([d])))
         for size in np.unique(sizes):
             size = int(size)
@@ -126,17 +135,18 @@ class BKForest:
                 if other not in self.root:
                     continue
                 near = np.flatnonzero(limit >= abs(other - size))
+                far = 2 * limit - abs(other - size) if swaps else limit
                 query, node = near, np.full(len(near), self.root[other])
                 while len(query):
                     more_q, more_n = [], []
                     for b in range(0, len(query), BLOCK):
                         q, n = query[b : b + BLOCK], node[b : b + BLOCK]
                         d = self._distance(codes[q], n)
-                        hit = d <= limit[q]
+                        hit = d <= far[q]
                         if hit.any():
                             found.append((rows[q[hit]], n[hit], d[hit]))
-                        first = np.searchsorted(self.key, n * 256 + np.maximum(d - limit[q], 0))
-                        count = np.searchsorted(self.key, n * 256 + d + limit[q] + 1) - first
+                        first = np.searchsorted(self.key, n * 256 + np.maximum(d - far[q], 0))
+                        count = np.searchsorted(self.key, n * 256 + d + far[q] + 1) - first
                         owner = np.repeat(np.arange(len(q)), count)
                         at = np.arange(len(owner)) + np.repeat(first - (np.cumsum(count) - count), count)
                         cq, cn = q[owner], self.child[at]

@@ -36,8 +36,6 @@ NOTHING = -1
 SHARD = 100_000
 #: Rows that are searched at once.
 TOGETHER = 50_000
-#: Levenshtein distance of the tree search: two edits, one of which may be a swap of neighbours.
-REACH = 3
 #: Words in at least so many names are words of a class (river, castle), not of one name.
 CLASS_WORD = 20
 #: Scores of matches; smaller is surer. A search adds 10 * edits + distance.
@@ -177,7 +175,7 @@ class Matcher:
         distinct = sorted(set(keys))
         place = {q: n for n, q in enumerate(distinct)}
         most = np.array([allowed(len(q)) for q in distinct])
-        query, entry, distance = forest.search(distinct, np.where(most > 1, REACH, most))
+        query, entry, distance = forest.search(distinct, most, swaps=True)
         found: dict[int, list[tuple[str, int, int]]] = {}
         for q, e, d in zip(query.tolist(), entry.tolist(), distance.tolist()):
             name = names[e]

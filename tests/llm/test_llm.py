@@ -33,6 +33,24 @@ def test_bk_forest_finds_all_within_threshold(monkeypatch):
     assert got == want and len(q) == len(got)
 
 
+def test_bk_forest_finds_all_within_edits_with_swaps():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+    entries = sorted({word() for _ in range(300)} | {"ab" * 35})
+    queries = [word() for _ in range(80)] + ["ba" * 2 + "ab" * 33, "ab" * 34 + "b"]
+    limit = np.array([rng.randrange(0, 3) for _ in range(80)] + [2, 2])
+    q, e, d = bktree.BKForest(entries).search(queries, limit, swaps=True)
+    got = {(i, j) for i, j in zip(q.tolist(), e.tolist()) if canonical.edits(queries[i], entries[j]) <= limit[i]}
+    want = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(entries) if canonical.edits(a, b) <= limit[i]}
+    assert got == want and all(plain_levenshtein(queries[i], entries[j]) == n for i, j, n in zip(q, e, d))
+
+
+@pytest.mark.parametrize(("value", "entity"), [("Muesum of Kliarkotrn", 1), ("Kallisot III of Tounainoraer", 2), ("Onlo", 3), ("Muesum of Kilrakotrn", -1)])
+def test_swaps_are_single_edits(value, entity):
+    matcher = canonical.Matcher([("Museum of Kliarkortn", 1), ("Kallisto III of Tounainorare", 2), ("Olno", 3)])
+    assert matcher.match([value])[0].tolist() == [entity]
+
+
 @pytest.mark.parametrize(
     ("raw", "form"),
     [
