@@ -104,7 +104,7 @@ def most_frequent(cands: DataFrame) -> DataFrame:
     return cands.groupBy("doc_id", "pos", "n", "mention").agg(best)
 
 
-def best_scored(scored: DataFrame, score: str, digits: int = 9) -> DataFrame:
-    """(doc_id, pos, n, mention, entity_id): the candidate of the highest rounded score, the smaller of equal ones."""
+def best_scored(scored: DataFrame, score: str, digits: int = 9, by: list[str] | None = None) -> DataFrame:
+    """(doc_id, pos, n, mention, entity_id): the candidate of the highest rounded score, the smaller of equal ones; for each run ``by``."""
     best = F.max_by("entity_id", F.struct(F.round(score, digits), -F.col("entity_id"))).alias("entity_id")
-    return scored.groupBy("doc_id", "pos", "n", "mention").agg(best)
+    return scored.groupBy(*(by or []), "doc_id", "pos", "n", "mention").agg(best)

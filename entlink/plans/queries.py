@@ -550,18 +550,20 @@ def sweep_detection(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("threshold").agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.sum("good").alias("good"))
 
 
+_BETAS = [k / 10 for k in range(5, 16)]
+
+
 @query
 def sweep_beta_best(spark: SparkSession, d: str) -> DataFrame:
-    """Correct links of two rounds of the full scorer for each beta, and whether it is the best one."""
+    """Correct links of converged belief propagation, full scorer, for each beta, and whether it is the best one."""
     from pyspark.sql import Window
 
     b = Base.of(spark, d)
-    grid = [k / 10 for k in range(5, 16, 5)]
-    parts = []
-    for beta in grid:
-        solved = detect.best_scored(bp.rounds(*_bp(b, bp.Full(beta=beta)), 2), "score", 6).select(*evaluate.KEY).distinct()
-        parts.append(solved.join(b.truth, evaluate.KEY, "left_semi").agg(F.count("*").alias("good")).withColumn("beta", F.lit(beta)))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    runs = bp.sweep(*bp.Full().prepare(b.scored, None, b.common, b.popular), _BETAS)  # relatedness is not used
+    solved = detect.best_scored(runs, "score", by=["beta"]).select("beta", *evaluate.KEY).distinct()
+    good = solved.join(b.truth, evaluate.KEY, "left_semi").groupBy("beta").agg(F.count("*").alias("good"))
+    grid = spark.createDataFrame([(beta,) for beta in _BETAS], "beta double")
+    rows = grid.join(good, "beta", "left").na.fill(0, ["good"]).select("good", "beta")
     w = Window.orderBy(F.desc("good"), "beta")  # one row per beta
     return rows.withColumn("is_best", F.row_number().over(w) == 1)
 

@@ -213,3 +213,19 @@ def test_link_stream(spark, tmp_path):
     q = link_stream(docs, dictionary, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination()
     assert [(r.mention, r.entity_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("cat", 1)]
+
+
+def test_sweep_of_beta_is_converged_and_whole(spark):
+    from entlink.plans import queries
+    from entlink.plans.base import Base
+
+    d = "/root/testdata/sf0.001"
+    rows = {r.beta: r for r in queries.sweep_beta_best(spark, d).collect()}
+    assert sorted(rows) == [k / 10 for k in range(5, 16)]
+    b = Base.of(spark, d)
+    truth = {tuple(r) for r in b.truth.select(*evaluate.KEY).collect()}
+    for beta in (0.6, 1.3):
+        done = detect.best_scored(bp.converge(*bp.Full(beta=beta).prepare(b.scored, b.rel, b.common, b.popular)), "score")
+        assert rows[beta].good == len({tuple(r) for r in done.select(*evaluate.KEY).collect()} & truth)
+    best = min(rows.values(), key=lambda r: (-r.good, r.beta))
+    assert [r.beta for r in rows.values() if r.is_best] == [best.beta]
