@@ -74,19 +74,24 @@ def converge(graph: DataFrame, nodes: DataFrame, alpha: float = ALPHA, tolerance
         where = {key: k for k, key in enumerate(zip(v["pos"], v["n"], v["entity"]))}
         a = np.array([where[x] for x in zip(e["pos1"], e["n1"], e["entity1"])], np.int64)
         b = np.array([where[x] for x in zip(e["pos2"], e["n2"], e["entity2"])], np.int64)
-        w, prior = e["w"].to_numpy(float), v["prior"].to_numpy(float)
-        p, hanging = prior.copy(), ~np.isin(np.arange(len(v)), a)
-        for _ in range(most):
-            q = alpha * prior + (1 - alpha) * (np.bincount(b, weights=w * p[a], minlength=len(v)) + p[hanging].sum() * prior)
-            moved = np.abs(q - p).max() if len(v) else 0.0
-            p = q
-            if moved < tolerance:
-                break
+        p = ranks(v["prior"].to_numpy(float), a, b, e["w"].to_numpy(float), alpha, tolerance, most)
         return v[["doc_id", "pos", "n", "entity"]].assign(p=p)
 
     return renewed(nodes).groupBy("doc_id").cogroup(renewed(graph).groupBy("doc_id")).applyInPandas(solve, out)
 
 
+def ranks(prior: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, alpha: float = ALPHA, tolerance: float = 1e-3, most: int = 100) -> np.ndarray:
+    """Ranks of one text's vertices; edges go from ``a`` to ``b``."""
+    p, hanging = prior.copy(), ~np.isin(np.arange(len(prior)), a)
+    for _ in range(most):
+        q = alpha * prior + (1 - alpha) * (np.bincount(b, weights=w * p[a], minlength=len(prior)) + p[hanging].sum() * prior)
+        moved = np.abs(q - p).max() if len(prior) else 0.0
+        p = q
+        if moved < tolerance:
+            break
+    return p
+
+
 def decide(scored: DataFrame, ranks: DataFrame) -> DataFrame:
     """(doc_id, pos, n, mention, entity_id, score): each mention's candidate of the highest compat x rank."""
     rank = ranks.where(F.col("entity") != MENTION).withColumnRenamed("entity", "entity_id")

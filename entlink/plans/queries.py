@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entlink.functions import text as T
-from entlink.operators import bp, detect, evaluate, kb, links, skew, walk
+from entlink.operators import bp, detect, evaluate, kb, links, skew, thresholds, walk
 from entlink.operators import tokens as tk
 from entlink.plans.base import Base
 from entlink.session import once, table
@@ -524,20 +524,32 @@ _THRESHOLDS = [k / 100 for k in range(90, 9, -1)]
 _MD_THRESHOLDS = [5e-5, 1e-4, 5e-4] + [k / 1000 for k in range(1, 10)] + [k / 100 for k in range(1, 101)]
 
 
+def _threshold_solutions(b: Base) -> DataFrame:
+    """(threshold, method, doc_id, mention, entity_id): what each method makes of the mentions kept, in texts with a truth."""
+    found = detect.by_threshold(b.spots, min(_THRESHOLDS)).join(b.truth.select("doc_id").distinct(), "doc_id", "left_semi")
+    weights = detect.context_weights(detect.contexts(b.docs, found), b.df)
+    cands = detect.candidates(found, b.dictionary)
+    scored = detect.compatibility(cands, b.kept(weights), b.vectors).withColumn("compat", F.round("compat", 9))
+    scored = b.kept(scored.join(found.select("doc_id", "pos", "n", "keyphraseness", "total"), ["doc_id", "pos", "n"]))
+    solved = thresholds.solutions(scored, links.related_pairs(scored, b.rel), _THRESHOLDS)
+    solved = solved.select(F.explode("thresholds").alias("threshold"), "method", *evaluate.KEY)
+    frequent = detect.most_frequent(cands).join(found.select("doc_id", "pos", "n", "keyphraseness"), ["doc_id", "pos", "n"])
+    frequent = evaluate.sweep(frequent, "keyphraseness", _THRESHOLDS).select("threshold", F.lit("frequent").alias("method"), *evaluate.KEY).distinct()
+    return solved.unionByName(frequent)
+
+
 @query
 def sweep_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of the most frequent entities for each threshold of keyphraseness."""
+    """Figures of the most frequent entities, the converged walk and converged belief propagation for each threshold of keyphraseness."""
     b = Base.of(spark, d)
-    linked = detect.most_frequent(detect.candidates(b.spots, b.dictionary)).join(b.spots.select("doc_id", "pos", "n", "keyphraseness"), ["doc_id", "pos", "n"])
-    kept = evaluate.sweep(linked, "keyphraseness", _THRESHOLDS)
-    found = kept.select("threshold", *evaluate.KEY).distinct()
-    good = found.join(b.truth, evaluate.KEY, "left_semi").groupBy("threshold").agg(F.count("*").alias("good"))
-    total = found.join(b.truth.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("threshold").agg(F.count("*").alias("found"))
-    grid = spark.createDataFrame([(t,) for t in _THRESHOLDS], "threshold double")
+    key = ["threshold", "method"]
+    mark = b.truth.select(*evaluate.KEY).distinct().withColumn("true", F.lit(1))
+    counts = _threshold_solutions(b).join(mark, evaluate.KEY, "left").groupBy(*key).agg(F.count("true").alias("good"), F.count("*").alias("found"))
+    grid = spark.createDataFrame([(t, m) for t in _THRESHOLDS for m in ("frequent", "walk", "bp")], "threshold double, method string")
     truth = b.truth.agg(F.count("*").alias("n_truth"))
-    rows = grid.join(good, "threshold", "left").join(total, "threshold", "left").na.fill(0).crossJoin(truth)  # one row
+    rows = grid.join(counts, key, "left").na.fill(0).crossJoin(truth)  # one row
     p, r = evaluate._share(F.col("good"), F.col("found")), evaluate._share(F.col("good"), F.col("n_truth"))
-    return rows.select("threshold", "good", "found", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"))
+    return rows.select("threshold", "method", "good", "found", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"))
 
 
 @query

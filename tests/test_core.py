@@ -229,3 +229,27 @@ def test_sweep_of_beta_is_converged_and_whole(spark):
         assert rows[beta].good == len({tuple(r) for r in done.select(*evaluate.KEY).collect()} & truth)
     best = min(rows.values(), key=lambda r: (-r.good, r.beta))
     assert [r.beta for r in rows.values() if r.is_best] == [best.beta]
+
+
+def test_threshold_sweep_solves_walk_and_belief_propagation(spark):
+    from entlink.plans import queries
+    from entlink.plans.base import Base
+
+    d = "/root/testdata/sf0.001"
+    rows = {(r.threshold, r.method): r for r in queries.sweep_threshold(spark, d).collect()}
+    assert set(rows) == {(t, m) for t in queries._THRESHOLDS for m in ("frequent", "walk", "bp")}
+    b = Base.of(spark, d)
+    truth = {tuple(r) for r in b.truth.select(*evaluate.KEY).collect()}
+    for t in (0.1, 0.45):
+        mentions = detect.importance(detect.by_threshold(b.spots, t)).cache()
+        cands = detect.candidates(mentions, b.dictionary)
+        scored = detect.compatibility(cands, detect.context_weights(detect.contexts(b.docs, mentions), b.df), b.vectors).withColumn("compat", F.round("compat", 9)).cache()
+        graph = walk.edges(scored, links.related_pairs(scored, b.rel)), walk.vertices(mentions, scored)
+        done = {
+            "frequent": detect.most_frequent(cands),
+            "walk": detect.best_scored(walk.decide(scored, walk.converge(*graph, tolerance=1e-10, most=200)), "score"),
+            "bp": detect.best_scored(bp.converge(*bp.Basic().prepare(scored, b.rel, b.common, b.popular)), "score"),
+        }
+        for method, solved in done.items():
+            got = {tuple(r) for r in solved.select(*evaluate.KEY).collect() if r.doc_id in {x[0] for x in truth}}
+            assert (rows[t, method].good, rows[t, method].found) == (len(got & truth), len(got)), (t, method)
