@@ -95,11 +95,6 @@ class Matcher:
             if len(tokens) == 2 and all(len(t) > 1 for t in tokens) and count[tokens[1]] < CLASS_WORD:
                 initial.setdefault(f"{tokens[0][0]} {tokens[1]}", set()).add(entity)
         self.initial = {k: next(iter(v)) for k, v in initial.items() if len(v) == 1}
-        firsts = {t[0] for t in self.tokens.values() if len(t) > 1}
-        lasts = {t[-1] for t in self.tokens.values() if len(t) > 1 and not t[-1].isdigit()}
-        self.ends = (firsts, lasts)
-        common = sorted({t for t in firsts | lasts if count.get(t, 0) >= CLASS_WORD and len(t) > 4})
-        self.common, self.common_forest = common, BKForest(common)
         self.names = list(self.equal)
         self.forest = BKForest(self.names)
         self.initials = list(self.initial)
@@ -148,25 +143,13 @@ class Matcher:
             self._search(whole, entity, score, False)
             turned = []
             for k, tokens in whole:
-                if score[k] == NO_MATCH and 1 < len(tokens) < 9:
+                if score[k] == NO_MATCH and len(tokens) > 1:
                     turned += [(k, tokens[1:] + tokens[:1]), (k, tokens[-1:] + tokens[:-1])]
                     if tokens[-1].isdigit() and len(tokens) > 2:
                         turned.append((k, tokens[1:-1] + tokens[:1] + tokens[-1:]))
-            self._search(self._plausible(turned), entity, score, False)
+            self._search(turned, entity, score, False)
         return entity, score
 
-    def _plausible(self, turned: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-        """The turned forms that begin or end like a name: with the word of a name or nearly with a common one."""
-        words_at_ends = sorted({t for _, tokens in turned for t in (tokens[0], tokens[-1]) if t not in self.ends[0] or t not in self.ends[1]})
-        query, entry, _ = self.common_forest.search(words_at_ends, np.array([2 if len(w) > 4 else 0 for w in words_at_ends], np.int64))
-        begin, end = set(self.ends[0]), set(self.ends[1])
-        for q, e in zip(query.tolist(), entry.tolist()):
-            if self.common[e] in self.ends[0]:
-                begin.add(words_at_ends[q])
-            if self.common[e] in self.ends[1]:
-                end.add(words_at_ends[q])
-        return [row for row in turned if row[1][0] in begin or row[1][-1] in end]
-
     def _search(self, rows: list[tuple[int, list[str]]], entity: np.ndarray, score: np.ndarray, initials: bool) -> None:
         if not rows:
             return

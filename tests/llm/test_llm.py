@@ -68,6 +68,12 @@ def test_names(raw, form):
     assert " ".join(names.words(names.undress(raw))) == form
 
 
+@pytest.mark.parametrize(("value", "entity"), [("Gramorel Uppre Catsle", 1), ("Gramorel, Society of Friends of Old River and Lower Catsle", 2)])
+def test_turned_values_with_typos(value, entity):
+    matcher = canonical.Matcher([("Castle Gramorel Upper", 1), ("Society of Friends of Old River and Lower Castle Gramorel", 2)])
+    assert matcher.match([value])[0].tolist() == [entity]
+
+
 def test_map_values(spark):
     titles = spark.createDataFrame([("Castle Gramorel", 1), ("Siege of Druvena (1388)", 2), ("Kallisto III of Bruntha", 3), ("Feskia Nemkesttu", 4), ("Olmar International Airport", 5)], "title string, id int")
     redirects = spark.createDataFrame([("Old Vashkun", "Castle Gramorel"), ("Old Vashkun", "Castle Gramorel"), (None, "Castle Gramorel")], "from_title string, to_title string")
