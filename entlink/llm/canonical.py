@@ -10,8 +10,10 @@ reference names (``bktree``), which return every name within the threshold; the
 Else the value means no entry and is reported with ``NOTHING``.
 
 The reference list goes to every task as long as it has at most ``SHARD`` names (counted first); a
-larger list is cut into shards by a hash, each shard is searched by all values, and the winners of
-the shards are merged. The values stay where they are: no value is shuffled for the search, equal
+larger list is cut into shards by a hash of the names' form. What depends on the whole list (words of a class,
+initials of one entry only, short names of airports) is found before it is cut. Each shard is searched by all
+values and gives the best entries of each step, ties included; they are merged for each row, so the result is that of one
+list. The values stay where they are: no value is shuffled for the search, equal
 values of an Arrow batch are searched once, and hot values cannot gather.
 
 NULL values and values of white space only are no cases. Values without letters or digits mean
@@ -22,14 +24,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entlink.llm.bktree import BKForest
 from entlink.llm.names import ROMAN, undress, words
+from entlink.session import stored
 
 NOTHING = -1
 #: Most reference names in one broadcast.
@@ -41,6 +45,8 @@ CLASS_WORD = 20
 #: Scores of matches; smaller is surer. A search adds 10 * edits + distance.
 EQUAL, REORDERED, INITIAL, SEARCHED = 0, 1, 2, 10
 NO_MATCH = 1_000_000
+#: Steps of a match: equal forms, search of initials, of whole names, of turned word orders. The first one with a single best entry decides.
+EXACT, INITIALS, WHOLE, TURNED = range(4)
 _NUMERALS = set(ROMAN[1:])
 
 
@@ -71,20 +77,39 @@ def _romans(tokens: list[str]) -> list[str]:
     return sorted(t for t in tokens if t in _NUMERALS)
 
 
+class Prepared(NamedTuple):
+    """What the whole list gives to one shard of it."""
+
+    airports: list[tuple[list[str], int]]
+    initial: dict[str, int]
+
+
 class Matcher:
-    """One shard of the reference list."""
+    """The reference list, or one shard of it with what is ``prepared`` from the whole list."""
 
-    def __init__(self, names: list[tuple[str, int]]):
+    def __init__(self, names: list[tuple[str, int]], prepared: Prepared | None = None):
         forms = [(words(undress(name)), entity) for name, entity in names]
-        count: dict[str, int] = {}
-        for tokens, _ in forms:
-            for t in set(tokens):
-                count[t] = count.get(t, 0) + 1
         self.equal: dict[str, int] = {}
         self.bag: dict[str, int] = {}
         self.tokens: dict[str, list[str]] = {}
         for tokens, entity in forms:
             self._add(tokens, entity)
+        if prepared:
+            for tokens, entity in prepared.airports:
+                self._add(tokens, entity)
+            self.initial = prepared.initial
+        else:
+            self._prepare(forms)
+        self.names = list(self.equal)
+        self.forest = BKForest(self.names)
+        self.initials = list(self.initial)
+        self.initial_forest = BKForest(self.initials)
+
+    def _prepare(self, forms: list[tuple[list[str], int]]) -> None:
+        count: dict[str, int] = {}
+        for tokens, _ in forms:
+            for t in set(tokens):
+                count[t] = count.get(t, 0) + 1
         for tokens, entity in forms:  # an airport may leave out that it is international
             if "international" in tokens and "airport" in tokens:
                 short = [t for t in tokens if t != "international"]
@@ -95,10 +120,6 @@ class Matcher:
             if len(tokens) == 2 and all(len(t) > 1 for t in tokens) and count[tokens[1]] < CLASS_WORD:
                 initial.setdefault(f"{tokens[0][0]} {tokens[1]}", set()).add(entity)
         self.initial = {k: next(iter(v)) for k, v in initial.items() if len(v) == 1}
-        self.names = list(self.equal)
-        self.forest = BKForest(self.names)
-        self.initials = list(self.initial)
-        self.initial_forest = BKForest(self.initials)
 
     def _add(self, tokens: list[str], entity: int) -> None:
         if tokens:
@@ -119,40 +140,60 @@ class Matcher:
     def match(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Entity and score of each value."""
         entity, score = np.full(len(values), NOTHING, np.int64), np.full(len(values), NO_MATCH, np.int64)
-        rest: list[tuple[int, list[str]]] = []
+        for k, _, s, low, high in sorted(self.steps(values), reverse=True):  # the first step comes last and stays
+            if low == high:
+                entity[k], score[k] = low, s
+        return entity, score
+
+    def steps(self, values: list[str], every: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(place, step, score, low, high): the best score of a value in a step, the least and the greatest entity that has it.
+
+        A value that a step decides takes no later one, unless ``every`` step is asked for; one with equal forms never does.
+        """
+        out: list[tuple[int, int, int, int, int]] = []
+        short: list[tuple[int, list[str]]] = []
+        whole: list[tuple[int, list[str]]] = []
         for k, value in enumerate(values):
             tokens = words(undress(value))
             if not tokens:
                 continue
             key = "".join(tokens)
             if key in self.equal:
-                entity[k], score[k] = self.equal[key], EQUAL
+                out.append((k, EXACT, EQUAL, self.equal[key], self.equal[key]))
             elif (bag := " ".join(sorted(tokens))) in self.bag:
-                entity[k], score[k] = self.bag[bag], REORDERED
+                out.append((k, EXACT, REORDERED, self.bag[bag], self.bag[bag]))
             elif len(tokens) == 2 and min(map(len, tokens)) == 1 and max(map(len, tokens)) > 1:
-                short = " ".join(sorted(tokens, key=len))
-                if short in self.initial:
-                    entity[k], score[k] = self.initial[short], INITIAL
+                first = " ".join(sorted(tokens, key=len))
+                if first in self.initial:
+                    out.append((k, EXACT, INITIAL, self.initial[first], self.initial[first]))
                 else:
-                    rest.append((k, [short]))
+                    short.append((k, [first]))
             else:
-                rest.append((k, tokens))
-        if rest:
-            self._search([r for r in rest if len(r[1]) == 1 and " " in r[1][0]], entity, score, True)
-            whole = [r for r in rest if not (len(r[1]) == 1 and " " in r[1][0])]
-            self._search(whole, entity, score, False)
-            turned = []
-            for k, tokens in whole:
-                if score[k] == NO_MATCH and len(tokens) > 1:
-                    turned += [(k, tokens[1:] + tokens[:1]), (k, tokens[-1:] + tokens[:-1])]
-                    if tokens[-1].isdigit() and len(tokens) > 2:
-                        turned.append((k, tokens[1:-1] + tokens[:1] + tokens[-1:]))
-            self._search(turned, entity, score, False)
-        return entity, score
+                whole.append((k, tokens))
+        decided: set[int] = set()
+
+        def search(rows: list[tuple[int, list[str]]], step: int) -> None:
+            for k, (best, who) in self._search([r for r in rows if every or r[0] not in decided], step == INITIALS).items():
+                out.append((k, step, best, min(who), max(who)))
+                if len(who) == 1:
+                    decided.add(k)
 
-    def _search(self, rows: list[tuple[int, list[str]]], entity: np.ndarray, score: np.ndarray, initials: bool) -> None:
+        search(short, INITIALS)
+        search(whole, WHOLE)
+        turned = []
+        for k, tokens in whole:
+            if len(tokens) > 1:
+                turned += [(k, tokens[1:] + tokens[:1]), (k, tokens[-1:] + tokens[:-1])]
+                if tokens[-1].isdigit() and len(tokens) > 2:
+                    turned.append((k, tokens[1:-1] + tokens[:1] + tokens[-1:]))
+        search(turned, TURNED)
+        return out
+
+    def _search(self, rows: list[tuple[int, list[str]]], initials: bool) -> dict[int, tuple[int, set[int]]]:
+        """The best score of each value over its rows and the entities that have it."""
+        out: dict[int, tuple[int, set[int]]] = {}
         if not rows:
-            return
+            return out
         forest, names = (self.initial_forest, self.initials) if initials else (self.forest, self.names)
         keys = ["".join(tokens) for _, tokens in rows]
         distinct = sorted(set(keys))
@@ -166,7 +207,7 @@ class Matcher:
             if n <= min(most[q], allowed(len(name))):
                 found.setdefault(q, []).append((name, n, d))
         for (k, tokens), key in zip(rows, keys):
-            best, who = NO_MATCH, set()
+            best, who = out.get(k, (NO_MATCH, set()))
             for name, n, d in found.get(place[key], ()):
                 if initials:
                     if name[0] != key[0]:
@@ -181,8 +222,9 @@ class Matcher:
                     best, who = s, {target}
                 elif s == best:
                     who.add(target)
-            if best < score[k] and len(who) == 1:
-                entity[k], score[k] = who.pop(), best
+            if who:
+                out[k] = best, who
+        return out
 
 
 def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,33 +247,66 @@ def reference_names(titles: DataFrame, redirects: DataFrame) -> DataFrame:
     return own.unionByName(other).where("name is not null and entity is not null").distinct()
 
 
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        tokens = [words(undress(name)) for name in pdf["name"]]
+        yield pdf.assign(key=["".join(t) for t in tokens], tokens=tokens)[["name", "entity", "key", "tokens"]]
+
+
+def _prepared(reference: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names, short names of airports and initials of the whole list, each with its ``shard``; equal forms are in one shard."""
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
+    forms = stored(reference.select("name", F.col("entity").cast("bigint").alias("entity")).mapInPandas(_forms, "name string, entity bigint, key string, tokens array<string>").where("key <> ''"))
+    common = forms.select(F.explode(F.array_distinct("tokens")).alias("last")).groupBy("last").count().where(F.col("count") >= CLASS_WORD).select("last")
+    two = forms.where("size(tokens) = 2 and length(tokens[0]) > 1 and length(tokens[1]) > 1").select(F.expr("tokens[1]").alias("last"), F.expr("substring(tokens[0], 1, 1)").alias("letter"), "entity")
+    initial = two.join(common, "last", "left_anti").groupBy(F.concat_ws(" ", "letter", "last").alias("initial")).agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))
+    initial = initial.where("entity = other").select(shard("initial"), "initial", "entity")
+    airports = forms.where("array_contains(tokens, 'international') and array_contains(tokens, 'airport')").withColumn("tokens", F.array_remove("tokens", "international"))
+    airports = airports.withColumn("key", F.array_join("tokens", "")).join(forms.select("key"), "key", "left_anti")
+    airports = airports.groupBy("key").agg(F.min(F.struct("name", "entity", "tokens")).alias("a")).select(shard("key"), "a.tokens", "a.entity")
+    return forms.select(shard("key"), "name", "entity"), airports, initial
+
+
 def map_values(rows: DataFrame, key: str, value: str, reference: DataFrame) -> DataFrame:
     """(key, entity_id, score): the entry that ``value`` of each row means, NOTHING if none; score NO_MATCH then."""
-    spark = rows.sparkSession
     rows = rows.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v"))
-    kind = rows.schema["k"].dataType.simpleString()
     shards = max(1, math.ceil(reference.count() / SHARD))
-    parts = []
+    out = _in_one(rows, reference) if shards == 1 else _in_shards(rows, reference, shards)
+    return out.select(F.col("k").alias(key), F.col("entity_id").cast("int").alias("entity_id"), "score")
+
+
+def _in_one(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    names = [(r["name"], r["entity"]) for r in reference.select("name", "entity").collect()]  # at most SHARD names
+    matcher = rows.sparkSession.sparkContext.broadcast(Matcher(sorted(names)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _together(batches):
+            codes, distinct = pd.factorize(pdf["v"])
+            entity, score = matcher.value.match(distinct.tolist())
+            yield pd.DataFrame({"k": pdf["k"], "entity_id": entity[codes], "score": score[codes]})
+
+    return rows.mapInPandas(run, f"k {rows.schema['k'].dataType.simpleString()}, entity_id bigint, score bigint")
+
+
+def _in_shards(rows: DataFrame, reference: DataFrame, shards: int) -> DataFrame:
+    """The same by one search for each shard; what they find is merged for each row, repeated rows apart."""
+    names, airports, initial = (stored(f) for f in _prepared(reference, shards))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so that every shard sees the same numbers
+    found = None
     for shard in range(shards):
-        part = reference.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).select("name", "entity")
-        names = [(r["name"], r["entity"]) for r in part.collect()]  # about SHARD names
-        matcher = spark.sparkContext.broadcast(Matcher(sorted(names)))
+        own = lambda f, shard=shard: f.where(F.col("shard") == shard).collect()  # noqa: E731  about SHARD names
+        prepared = Prepared([(list(r["tokens"]), r["entity"]) for r in own(airports)], {r["initial"]: r["entity"] for r in own(initial)})
+        matcher = rows.sparkSession.sparkContext.broadcast(Matcher(sorted((r["name"], r["entity"]) for r in own(names)), prepared))
 
         def run(batches: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
             for pdf in _together(batches):
                 codes, distinct = pd.factorize(pdf["v"])
-                entity, score = matcher.value.match(distinct.tolist())
-                yield pd.DataFrame({"k": pdf["k"], "entity_id": entity[codes], "score": score[codes]})
-
-        parts.append(rows.mapInPandas(run, f"k {kind}, entity_id bigint, score bigint"))
-    if shards == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        best = every.withColumn("best", F.min("score").over(Window.partitionBy("k"))).where("score = best")
-        out = best.groupBy("k").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"), F.min("score").alias("score")).select(
-            "k", F.expr(f"if(low = high or score < {SEARCHED}, low, {NOTHING})").alias("entity_id"), "score"
-        )
-    return out.select(F.col("k").alias(key), F.col("entity_id").cast("int").alias("entity_id"), "score")
+                steps = pd.DataFrame(matcher.value.steps(distinct.tolist(), every=True), columns=["code", "step", "score", "low", "high"])
+                yield pd.DataFrame({"row": pdf["row"], "code": codes}).merge(steps, on="code")[["row", "step", "score", "low", "high"]]
+
+        part = rows.select("row", "v").mapInPandas(run, "row bigint, step int, score bigint, low bigint, high bigint")
+        found = part if found is None else found.unionByName(part)
+    low, high = F.min(F.struct("score", "low")).alias("a"), F.min(F.struct("score", (-F.col("high")).alias("high"))).alias("b")
+    best = found.groupBy("row", "step").agg(low, high).where(f"step = {EXACT} or a.low = -b.high")
+    best = best.groupBy("row").agg(F.min(F.struct("step", "a.score", "a.low")).alias("a"))
+    return rows.join(best, "row", "left").select("k", F.coalesce("a.low", F.lit(NOTHING)).alias("entity_id"), F.coalesce("a.score", F.lit(NO_MATCH)).alias("score"))

@@ -96,6 +96,24 @@ def test_map_values_in_shards(spark, monkeypatch):
     assert got == {k: k for k in range(100)} | {200: -1}
 
 
+def test_shards_give_what_one_list_gives(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    reference = [("John Smith", 1), ("Jane Smith", 2), ("Mary Pontoverde", 3), ("Olmar International Airport", 4), ("Olmar  International Airport", 5)]
+    reference += [(f"{word(4)} {word(4)}", k) for k in range(10, 150)] + [(f"{word(5)} Castle", k) for k in range(150, 180)] + [(f"{word(7)}", k) for k in range(180, 230)]
+    values = ["J. Smith", "M. Pontoverde", "M. Pontovedre", "Olmar Airport", "Olmar Aiport", "a Castle", "...", "zzzzzzzz"] + [n for n, _ in reference]
+    for n, _ in reference:
+        at = rng.randrange(1, len(n) - 1)
+        values += [n[:at] + n[at + 1 :], n[: at - 1] + n[at] + n[at - 1] + n[at + 1 :], " ".join(n.split()[::-1])[1:], f"{n[0]}. {n.split()[-1]}"]
+    entity, score = canonical.Matcher(sorted(reference)).match(values)
+    assert entity[0] == -1 and entity[1] == 3 and entity[3] == 5 and (entity >= 0).sum() > 100 and (entity < 0).sum() > 100
+    monkeypatch.setattr(canonical, "SHARD", 60)
+    df = spark.createDataFrame(reference, "name string, entity bigint")
+    rows = spark.createDataFrame([(k // 2, v) for k, v in enumerate(values)] + [(0, values[0])], "link_id bigint, v string")  # keys repeat
+    got = sorted(tuple(r) for r in canonical.map_values(rows, "link_id", "v", df).collect())
+    assert got == sorted([(k // 2, e, s) for k, (e, s) in enumerate(zip(entity.tolist(), score.tolist()))] + [(0, entity[0], score[0])])
+
+
 @pytest.mark.parametrize("least", [1, 3])
 def test_cooccurrence_against_brute_force(spark, monkeypatch, least):
     monkeypatch.setattr(cooccur, "BLOCK", 40)
