@@ -151,7 +151,7 @@ class Matcher:
         A value that a step decides takes no later one, unless ``every`` step is asked for; one with equal forms never does.
         """
         out: list[tuple[int, int, int, int, int]] = []
-        short: list[tuple[int, list[str]]] = []
+        short: list[tuple[int, str, list[str]]] = []
         whole: list[tuple[int, list[str]]] = []
         for k, value in enumerate(values):
             tokens = words(undress(value))
@@ -167,7 +167,7 @@ class Matcher:
                 if first in self.initial:
                     out.append((k, EXACT, INITIAL, self.initial[first], self.initial[first]))
                 else:
-                    short.append((k, [first]))
+                    short.append((k, first, tokens))
             else:
                 whole.append((k, tokens))
         decided: set[int] = set()
@@ -178,7 +178,8 @@ class Matcher:
                 if len(who) == 1:
                     decided.add(k)
 
-        search(short, INITIALS)
+        search([(k, [first]) for k, first, _ in short], INITIALS)
+        whole += [(k, tokens) for k, _, tokens in short]
         search(whole, WHOLE)
         turned = []
         for k, tokens in whole:
