@@ -206,6 +206,7 @@ _FINAL = {
     "normalized_anchor": "SELECT mention, count(*) AS n FROM link GROUP BY 1",
     "normalized_target": "SELECT target, count(*) AS n FROM link GROUP BY 1",
     "normalize_no_delims": "SELECT doc_id, CAST(length(bare) AS INTEGER) AS length, CAST(len(string_split(bare, ' ')) AS INTEGER) AS words, substr(bare, 1, 40) AS start FROM doc",
+    "normalize_no_delims_text": "SELECT doc_id, bare AS normalized FROM doc",
     "mention_all_candidates": "SELECT mention, array_to_string(list(DISTINCT entity_id ORDER BY entity_id), ',') AS candidates FROM edge GROUP BY mention",
     "mention_top_candidates": "SELECT mention, array_to_string(list(entity_id ORDER BY freq DESC, entity_id), ',') AS candidates FROM cut GROUP BY mention",
     "mention_top_candidates_10": "SELECT mention, entity_id, freq, name_freq FROM cnt WHERE freq >= 0.1::DOUBLE * name_freq",
@@ -242,6 +243,7 @@ _FINAL = {
     "conditional_denominator": "SELECT entity_id, CAST(sum(freq * (out_links - freq) + freq * (freq - 1) // 2) AS BIGINT) AS denominator FROM inl JOIN outl ON inl.src = outl.src GROUP BY 1",
     "relatedness_pairs": "SELECT e1, e2, common, round(rel, 6) AS rel FROM rel",
     "referent_edges": "SELECT doc_id, pos1, n1, entity1, count(*) AS edges, round(max(w), 6) AS heaviest, round(sum(w * w), 6) AS squares, CAST(sum(entity2) AS BIGINT) AS targets FROM graph GROUP BY 1, 2, 3, 4",
+    "referent_edge_rows": "SELECT doc_id, pos1, n1, entity1, pos2, n2, entity2, round(w, 6) AS w FROM graph",
     "referent_validate": "SELECT CAST(0 AS BIGINT) AS violations, count(*) AS edges FROM graph",
     "walk_k_steps": "SELECT doc_id, pos, n, entity, round(p, 6) AS p FROM step3",
     "bp_basic_k": "SELECT doc_id, pos, n, entity_id, round(score, 6) + 0 AS score FROM basic_f2",

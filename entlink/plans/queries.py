@@ -88,6 +88,12 @@ def normalize_no_delims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(text).alias("length"), F.size(F.split(text, " ")).alias("words"), F.substring(text, 1, 40).alias("start"))
 
 
+@query
+def normalize_no_delims_text(spark: SparkSession, d: str) -> DataFrame:
+    """The whole texts normalised without delimiters."""
+    return table(spark, d, "documents").select("doc_id", T.normalize_no_delimiters(F.col("text")).alias("normalized"))
+
+
 # --- dictionary ------------------------------------------------------------------------------------------------
 
 
@@ -333,6 +339,12 @@ def referent_edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("edges"), F.round(F.max(w), 6).alias("heaviest"), F.round(F.sum(w * w), 6).alias("squares"), F.sum("entity2").alias("targets"))
 
 
+@query
+def referent_edge_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the referent graphs themselves."""
+    return _graph(Base.of(spark, d))[0].select("doc_id", "pos1", "n1", "entity1", "pos2", "n2", "entity2", _r("w"))
+
+
 @query
 def referent_validate(spark: SparkSession, d: str) -> DataFrame:
     """Violations of the graphs' invariants (none expected) and the number of edges."""

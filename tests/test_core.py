@@ -253,3 +253,18 @@ def test_threshold_sweep_solves_walk_and_belief_propagation(spark):
         for method, solved in done.items():
             got = {tuple(r) for r in solved.select(*evaluate.KEY).collect() if r.doc_id in {x[0] for x in truth}}
             assert (rows[t, method].good, rows[t, method].found) == (len(got & truth), len(got)), (t, method)
+
+
+def test_whole_texts_and_edges_come_out(spark):
+    from entlink.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.normalized for r in queries.queries()["normalize_no_delims_text"](spark, d).collect()}
+    short = {r.doc_id: r for r in queries.normalize_no_delims(spark, d).collect()}
+    assert {k: (t is not None and len(t), t and t[:40]) for k, t in texts.items()} == {k: (r.length is not None and r.length, r.start) for k, r in short.items()}
+    assert max(len(t or "") for t in texts.values()) > 40
+    sums = {}
+    for r in queries.queries()["referent_edge_rows"](spark, d).collect():
+        n, targets = sums.get((r.doc_id, r.pos1, r.n1, r.entity1), (0, 0))
+        sums[r.doc_id, r.pos1, r.n1, r.entity1] = n + 1, targets + r.entity2
+    assert sums == {(r.doc_id, r.pos1, r.n1, r.entity1): (r.edges, r.targets) for r in queries.referent_edges(spark, d).collect()}
