@@ -12,7 +12,7 @@ from entlink.functions import text as T
 from entlink.operators import bp, detect, evaluate, kb, links, skew, thresholds, walk
 from entlink.operators import tokens as tk
 from entlink.plans.base import Base
-from entlink.session import once, table
+from entlink.session import once, stored, table
 from entlink.sources import formats
 
 _REGISTRY: dict = {}
@@ -532,6 +532,37 @@ def missed_by_keyphraseness(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc(F.round("keyphraseness", 9)), "doc_id", "pos", "n").limit(100).select("doc_id", "pos", "n", "mention", _r("keyphraseness"))
 
 
+@query
+def false_positives_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Every spot that is no true mention, by descending keyphraseness."""
+    b = Base.of(spark, d)
+    rows = b.spots.join(b.truth.select("doc_id", "mention").distinct(), ["doc_id", "mention"], "left_anti")
+    return _ranked(rows.select("doc_id", "pos", "n", "mention", _r("keyphraseness", 9)), F.desc("keyphraseness"), "doc_id", "pos", "n")
+
+
+@query
+def truth_low_keyphraseness(spark: SparkSession, d: str) -> DataFrame:
+    """Every true mention of the dictionary, by ascending keyphraseness."""
+    b = Base.of(spark, d)
+    entries = b.dictionary.groupBy("mention").agg(F.round(F.first("linked") / F.first("total"), 9).alias("keyphraseness"))
+    rows = b.truth.select(*evaluate.KEY).distinct().join(entries, "mention")
+    return _ranked(rows.select(*evaluate.KEY, "keyphraseness"), "keyphraseness", *evaluate.KEY)
+
+
+def _ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with their ``rank`` over all: a range sort, and the rows of the partitions before added to the place in the own one."""
+    rows = rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = stored(rows)  # written, so that places are fixed
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in sorted(sizes):
+        before.append((k, total))
+        total += sizes[k]
+    starts = rows.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", place + F.col("before") + 1).drop("part", "at", "before")
+
+
 _THRESHOLDS = [k / 100 for k in range(90, 9, -1)]
 _MD_THRESHOLDS = [5e-5, 1e-4, 5e-4] + [k / 1000 for k in range(1, 10)] + [k / 100 for k in range(1, 101)]
 

@@ -268,3 +268,20 @@ def test_whole_texts_and_edges_come_out(spark):
         n, targets = sums.get((r.doc_id, r.pos1, r.n1, r.entity1), (0, 0))
         sums[r.doc_id, r.pos1, r.n1, r.entity1] = n + 1, targets + r.entity2
     assert sums == {(r.doc_id, r.pos1, r.n1, r.entity1): (r.edges, r.targets) for r in queries.referent_edges(spark, d).collect()}
+
+
+def test_missed_lists_are_whole_and_ranked(spark):
+    from entlink.plans import queries
+    from entlink.plans.base import Base
+
+    d = "/root/testdata/sf0.001"
+    b, run = Base.of(spark, d), queries.queries()
+    truth = {tuple(r) for r in b.truth.select(*evaluate.KEY).collect()}
+    names = {r[:2] for r in truth}
+    wrong = sorted((-round(r.keyphraseness, 9), r.doc_id, r.pos, r.n) for r in b.spots.collect() if (r.doc_id, r.mention) not in names)
+    got = sorted(run["false_positives_ranked"](spark, d).collect(), key=lambda r: r["rank"])
+    assert [(-r.keyphraseness, r.doc_id, r.pos, r.n) for r in got] == wrong and [r["rank"] for r in got] == list(range(1, len(wrong) + 1))
+    kp = {r.mention: round(r.linked / r.total, 9) for r in b.dictionary.collect()}
+    low = sorted((kp[m], k, m, e) for k, m, e in truth if m in kp)
+    got = sorted(run["truth_low_keyphraseness"](spark, d).collect(), key=lambda r: r["rank"])
+    assert [(r.keyphraseness, r.doc_id, r.mention, r.entity_id) for r in got] == low and [r["rank"] for r in got] == list(range(1, len(low) + 1))
