@@ -4,7 +4,8 @@
 a key together. Each round counts, per key, the values of the interval that still holds the rank in
 ``BUCKETS`` equal buckets; the counts are mergeable, so they are added up before and after the
 shuffle. The bucket that contains the rank, narrowed to the least and greatest value seen in it, is
-the next interval; a rank is resolved when these are equal.
+the next interval; a rank is resolved when these are equal. Values outside all open intervals of their key are left out of the
+next round, so each round reads a fraction of the one before.
 
 The open intervals (one row per key and rank) are broadcast only while few, by count; otherwise they
 are joined by shuffling, with the keys that hold more than one thousandth of the rows spread over
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entlink.session import BROADCAST_ROWS, checkpointed, once
+from entlink.session import BROADCAST_ROWS, checkpointed, once, stored
 
 BUCKETS = 64
 SALTS = 64
@@ -33,15 +34,17 @@ def _bucket(value: Column, low: Column, high: Column) -> Column:
     return F.least(place, F.lit(BUCKETS - 1)).cast("int")
 
 
-def _open_values(values: DataFrame, state: DataFrame, rows: int, hot: DataFrame) -> DataFrame:
-    """The values of each key joined to the key's open intervals."""
-    inside = F.col("v").between(F.col("low"), F.col("high"))
+def _open_values(values: DataFrame, state: DataFrame, rows: int, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """The values of each key joined to the key's open intervals; any salt will do, as hot keys' intervals go to all."""
+    inside = (F.col("k") == F.col("key")) & F.col("v").between(F.col("low"), F.col("high"))
+    state = state.withColumnRenamed("k", "key")
     if rows <= BROADCAST_ROWS:
-        return values.join(F.broadcast(state), "k").where(inside)
-    marked = F.broadcast(hot.withColumn("hot", F.lit(True)))  # at most HOT rows
-    salted = values.join(marked, "k", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0))).drop("hot")
-    spread = state.join(marked, "k", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return salted.join(spread.withColumn("salt", F.col("salt").cast("bigint")), ["k", "salt"]).drop("salt").where(inside)
+        return values.join(F.broadcast(state), inside, how)
+    marked = F.broadcast(hot.select(F.col("k").alias("hot")))  # at most HOT rows
+    salted = values.join(marked, F.col("k") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint")))
+    all_salts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    spread = state.join(marked, F.col("key") == F.col("hot"), "left").withColumn("ksalt", F.explode(all_salts)).drop("hot")
+    return salted.drop("hot").join(spread, inside & (F.col("salt") == F.col("ksalt")), how).drop("salt", "ksalt")
 
 
 def select_ranks(values: DataFrame, key: str, value: str, ranks: Column) -> DataFrame:
@@ -50,12 +53,16 @@ def select_ranks(values: DataFrame, key: str, value: str, ranks: Column) -> Data
     ``value`` must be an integer type; a key whose range does not fit BIGINT raises an error.
     """
     rows = values.select(F.col(key).alias("k"), F.col(value).cast("bigint").alias("v")).where("k is not null and v is not null")
-    rows = checkpointed(rows)
+    return _ranks(checkpointed(rows), ranks)[0].select(F.col("k").alias(key), "rank", F.col("v").alias(value))
+
+
+def _ranks(rows: DataFrame, ranks: Column) -> tuple[DataFrame, DataFrame]:
+    """(k, rank, v) of ``rows``(k, v), and the hot keys."""
     state = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     everything = rows.count()
     hot = checkpointed(state.where(F.col("n") * HOT >= everything).select("k")) if everything else state.select("k")
     state = state.select("k", "low", "high", F.explode(ranks).alias("rank"), "n").where("rank between 1 and n").withColumn("below", F.lit(0).cast("bigint")).drop("n")
-    done = None
+    done, first = None, True
     while True:
         state = checkpointed(state)
         over = state.where("low = high").select("k", "rank", F.col("low").alias("v"))
@@ -63,7 +70,10 @@ def select_ranks(values: DataFrame, key: str, value: str, ranks: Column) -> Data
         state = state.where("low < high")
         left = state.count()
         if not left:
-            break
+            return done, hot
+        if not first:  # from now on only what lies in an open interval
+            rows = checkpointed(_open_values(rows, state, left, hot, "left_semi"))
+        first = False
         counted = (
             _open_values(rows, state, left, hot)
             .groupBy("k", "rank", "below", _bucket(F.col("v"), F.col("low"), F.col("high")).alias("b"))
@@ -72,7 +82,6 @@ def select_ranks(values: DataFrame, key: str, value: str, ranks: Column) -> Data
         w = Window.partitionBy("k", "rank").orderBy("b")  # at most BUCKETS rows
         upto = counted.withColumn("upto", F.col("below") + F.sum("c").over(w))
         state = upto.where("rank <= upto and rank > upto - c").select("k", "low", "high", "rank", (F.col("upto") - F.col("c")).alias("below"))
-    return done.select(F.col("k").alias(key), "rank", F.col("v").alias(value))
 
 
 def quantiles(values: DataFrame, key: str, value: str, probabilities: list[float]) -> DataFrame:
@@ -91,11 +100,11 @@ def link_frequencies(entity_links: DataFrame) -> DataFrame:
 def top_source(frequencies: DataFrame) -> DataFrame:
     """(entity_id, src, freq): the page with the greatest freq of each entity, the smaller page of equal ones.
 
-    Frequency and page are packed into one integer whose greatest value is the answer.
-    Frequencies must lie in 0 .. 2^31 - 1 and pages in the range of INT.
+    The greatest frequency of each entity is its last rank; of the rows that have it the smallest page is
+    taken, by an aggregation that combines before it shuffles. Any BIGINT frequency will do.
     """
-    flipped = F.lit(2147483647) - F.col("src").cast("bigint")
-    packed = frequencies.select("entity_id", (F.shiftleft("freq", 32) + flipped).alias("code"))
-    best = select_ranks(packed, "entity_id", "code", F.array(F.col("n")))
-    low = F.expr("pmod(code, 4294967296)")
-    return best.select("entity_id", (F.lit(2147483647) - low).cast("int").alias("src"), F.shiftright("code", 32).alias("freq"))
+    rows = stored(frequencies.select(F.col("entity_id").alias("k"), F.col("freq").cast("bigint").alias("v"), "src").where("k is not null and v is not null"))
+    best, hot = _ranks(rows.select("k", "v"), F.array(F.col("n")))
+    best = checkpointed(best.select("k", F.col("v").alias("low"), F.col("v").alias("high")))
+    reached = _open_values(rows, best, best.count(), hot)
+    return reached.groupBy(F.col("k").alias("entity_id")).agg(F.min("src").alias("src"), F.max("v").alias("freq"))

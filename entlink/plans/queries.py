@@ -669,7 +669,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each entity with its summed total_freq, its number of linking pages and its top page."""
     rows = table(spark, d, "entity_links")
-    freq = skew.link_frequencies(rows)
+    freq = stored(skew.link_frequencies(rows))  # for the pages and for the top page
     totals = once(rows.select("record_id", "entity_id", "total_freq"), "record_id").where("entity_id is not null")
     totals = totals.groupBy("entity_id").agg(F.coalesce(F.sum(F.col("total_freq").cast("bigint")), F.lit(0)).alias("total_freq"))
     pages = freq.groupBy("entity_id").agg(F.count("*").alias("n_pages"))

@@ -186,6 +186,16 @@ def test_top_source_ties_and_nulls(spark):
     assert got == {1: (4, 2), 3: (7, 2)}
 
 
+def test_top_source_of_frequencies_beyond_32_bits(spark, monkeypatch):
+    rows = [(1, 5, 2**31 + 7), (1, 6, 9), (2, 5, 2**32 + 1), (2, 6, 9), (3, 8, 2**61), (3, 4, 2**61), (3, 2, 2**61 - 1), (4, 1, 0), (4, 2, 0), (None, 1, 1), (5, 1, None)]
+    df = spark.createDataFrame(rows, "entity_id int, src int, freq bigint")
+    for most in (200_000, 0):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
+        got = {r.entity_id: (r.src, r.freq) for r in skew.top_source(df).collect()}
+        assert got == {1: (5, 2**31 + 7), 2: (5, 2**32 + 1), 3: (4, 2**61), 4: (1, 0)}
+    assert skew.top_source(df.limit(0)).count() == 0
+
+
 def test_core_does_not_need_llm():
     import pathlib
 
