@@ -7,6 +7,10 @@ advance all matrices by a column. The triangle inequality leaves out every child
 outside [d - t, d + t], so all entries within the threshold are found. A node without children is
 not measured at all if the sets of its signs and the query's differ too much.
 
+Signs beyond the ``SIGNS`` most frequent ones share a code, so the bit vectors of an entry have a fixed size for any script.
+The trees then measure the strings of codes: that is a metric too, and never more than the distance of the strings
+themselves, so no entry is lost; what is found is measured again.
+
 A search for edits in which a swap of two neighbours is one edit goes through the same trees: k such
 edits between strings whose lengths differ by l are at most 2 k - l edits of the Levenshtein distance, as
 l of them are no swaps, and change at most k signs of either set.
@@ -14,10 +18,14 @@ l of them are no swaps, and change at most k signs of either set.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 #: Longest string that the bit vectors hold; longer entries are kept aside and compared one by one.
 WIDEST = 64
+#: Signs with a code of their own.
+SIGNS = 62
 #: Pairs that are measured at once.
 BLOCK = 16_384
 
@@ -43,9 +51,11 @@ class BKForest:
 
     def __init__(self, entries: list[str]):
         self.entries = entries
-        signs = sorted({c for e in entries for c in e})
-        self.sign = {c: k + 1 for k, c in enumerate(signs)}
-        self.alphabet = len(signs) + 1
+        used = Counter(c for e in entries for c in e)
+        signs = sorted(used, key=lambda c: (-used[c], c))
+        self.sign = {c: min(k, SIGNS) + 1 for k, c in enumerate(signs)}
+        self.alphabet = min(len(signs), SIGNS + 1) + 1
+        self.shared = len(signs) > SIGNS + 1
         self.length = np.array([len(e) for e in entries], np.int64)
         self.long = [k for k, e in enumerate(entries) if len(e) > WIDEST]
         short = np.flatnonzero((self.length <= WIDEST) & (self.length > 0))
@@ -158,4 +168,10 @@ class BKForest:
                     query, node = np.concatenate(more_q), np.concatenate(more_n)
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+        query, entry, distance = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if self.shared:
+            far = 2 * thresholds[query] - np.abs(sizes[query] - self.length[entry]) if swaps else thresholds[query]
+            distance = np.array([plain_distance(queries[q], self.entries[e], int(most)) for q, e, most in zip(query, entry, far)], np.int64)
+            near = distance <= far
+            query, entry, distance = query[near], entry[near], distance[near]
+        return query, entry, distance

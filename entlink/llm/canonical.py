@@ -1,23 +1,22 @@
 """Problem 1: mapping freely typed values to the entry of a reference list that they mean.
 
 Reference names (canonical titles and their other names) and values are brought into the same form
-(``names``). A value that equals a name, also with its words in another order or with a first
-name cut to its initial, has that name's entry. All others are searched in BK-trees over the
-reference names (``bktree``), which return every name within the threshold; the nearest one wins if
+(``names``). Every value is then searched in BK-trees over the reference names (``bktree``), which return every
+name within the threshold: first with no edits, over the names, over the names with their words in alphabetical order
+and over first names cut to their initial; what that leaves over with the edits that its length allows. The nearest name wins if
  * the edits, with a swap of neighbours as one, are few for its length,
  * its numbers are the same (another year or another ruler is another thing), and
  * no other entry is as near.
 Else the value means no entry and is reported with ``NOTHING``.
 
 The reference list goes to every task as long as it has at most ``SHARD`` names (counted first); a
-larger list is cut into shards by a hash of the names' form. What depends on the whole list (words of a class,
-initials of one entry only, short names of airports) is found before it is cut. Each shard is searched by all
-values and gives the best entries of each step, ties included; they are merged for each row, so the result is that of one
-list. The values stay where they are: no value is shuffled for the search, equal
-values of an Arrow batch are searched once, and hot values cannot gather.
-
-NULL values and values of white space only are no cases. Values without letters or digits mean
-nothing. Repeated rows each get a row.
+larger list is cut into shards by a hash of the names' form, and the values into blocks by a hash. What depends on the whole
+list (words of a class, initials of one entry only, short names of airports) is found before it is cut. Each pair of a shard
+and a block is one task, which builds the trees of the shard and gives the best entries of each step, ties included; they are
+merged for each value, so the result is that of one list. Each distinct value is searched once, so hot values cannot gather; they come back to their
+rows by a broadcast.
+
+NULL values, values of white space only and values without letters or digits mean nothing. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -40,6 +39,10 @@ NOTHING = -1
 SHARD = 100_000
 #: Rows that are searched at once.
 TOGETHER = 50_000
+#: Distinct values in a block, about, where the list is cut.
+VALUES = 200_000
+#: A value is hot if it has at least one of so many rows; so there are no more hot values than this.
+HOT = 1000
 #: Words in at least so many names are words of a class (river, castle), not of one name.
 CLASS_WORD = 20
 #: Scores of matches; smaller is surer. A search adds 10 * edits + distance.
@@ -102,6 +105,8 @@ class Matcher:
             self._prepare(forms)
         self.names = list(self.equal)
         self.forest = BKForest(self.names)
+        self.bags = list(self.bag)
+        self.bag_forest = BKForest(self.bags)
         self.initials = list(self.initial)
         self.initial_forest = BKForest(self.initials)
 
@@ -151,25 +156,23 @@ class Matcher:
         A value that a step decides takes no later one, unless ``every`` step is asked for; one with equal forms never does.
         """
         out: list[tuple[int, int, int, int, int]] = []
-        short: list[tuple[int, str, list[str]]] = []
-        whole: list[tuple[int, list[str]]] = []
-        for k, value in enumerate(values):
-            tokens = words(undress(value))
-            if not tokens:
-                continue
-            key = "".join(tokens)
-            if key in self.equal:
-                out.append((k, EXACT, EQUAL, self.equal[key], self.equal[key]))
-            elif (bag := " ".join(sorted(tokens))) in self.bag:
-                out.append((k, EXACT, REORDERED, self.bag[bag], self.bag[bag]))
-            elif len(tokens) == 2 and min(map(len, tokens)) == 1 and max(map(len, tokens)) > 1:
-                first = " ".join(sorted(tokens, key=len))
-                if first in self.initial:
-                    out.append((k, EXACT, INITIAL, self.initial[first], self.initial[first]))
-                else:
-                    short.append((k, first, tokens))
-            else:
-                whole.append((k, tokens))
+        left = [(k, tokens) for k, tokens in enumerate(words(undress(v)) for v in values) if tokens]
+
+        def equal(rows: list[tuple[int, list[str]]], forms: list[str], forest: BKForest, names: list[str], entity: dict[str, int], score: int) -> list[tuple[int, list[str]]]:
+            """Takes the rows whose form is in the tree; gives back the others."""
+            distinct = sorted(set(forms))
+            query, entry, _ = forest.search(distinct, np.zeros(len(distinct), np.int64))
+            found = {distinct[q]: entity[names[e]] for q, e in zip(query.tolist(), entry.tolist())}
+            out.extend((k, EXACT, score, found[form], found[form]) for (k, _), form in zip(rows, forms) if form in found)
+            return [row for row, form in zip(rows, forms) if form not in found]
+
+        left = equal(left, ["".join(tokens) for _, tokens in left], self.forest, self.names, self.equal, EQUAL)
+        left = equal(left, [" ".join(sorted(tokens)) for _, tokens in left], self.bag_forest, self.bags, self.bag, REORDERED)
+        two = [(k, tokens) for k, tokens in left if len(tokens) == 2 and min(map(len, tokens)) == 1 and max(map(len, tokens)) > 1]
+        cut = {k for k, _ in two}
+        whole = [(k, tokens) for k, tokens in left if k not in cut]
+        two = equal(two, [" ".join(sorted(tokens, key=len)) for _, tokens in two], self.initial_forest, self.initials, self.initial, INITIAL)
+        short = [(k, " ".join(sorted(tokens, key=len)), tokens) for k, tokens in two]
         decided: set[int] = set()
 
         def search(rows: list[tuple[int, list[str]]], step: int) -> None:
@@ -284,30 +287,41 @@ def _in_one(rows: DataFrame, reference: DataFrame) -> DataFrame:
         for pdf in _together(batches):
             codes, distinct = pd.factorize(pdf["v"])
             entity, score = matcher.value.match(distinct.tolist())
+            entity, score = np.append(entity, NOTHING), np.append(score, NO_MATCH)  # NULL has the code -1
             yield pd.DataFrame({"k": pdf["k"], "entity_id": entity[codes], "score": score[codes]})
 
     return rows.mapInPandas(run, f"k {rows.schema['k'].dataType.simpleString()}, entity_id bigint, score bigint")
 
 
 def _in_shards(rows: DataFrame, reference: DataFrame, shards: int) -> DataFrame:
-    """The same by one search for each shard; what they find is merged for each row, repeated rows apart."""
-    names, airports, initial = (stored(f) for f in _prepared(reference, shards))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so that every shard sees the same numbers
-    found = None
-    for shard in range(shards):
-        own = lambda f, shard=shard: f.where(F.col("shard") == shard).collect()  # noqa: E731  about SHARD names
-        prepared = Prepared([(list(r["tokens"]), r["entity"]) for r in own(airports)], {r["initial"]: r["entity"] for r in own(initial)})
-        matcher = rows.sparkSession.sparkContext.broadcast(Matcher(sorted((r["name"], r["entity"]) for r in own(names)), prepared))
-
-        def run(batches: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
-            for pdf in _together(batches):
-                codes, distinct = pd.factorize(pdf["v"])
-                steps = pd.DataFrame(matcher.value.steps(distinct.tolist(), every=True), columns=["code", "step", "score", "low", "high"])
-                yield pd.DataFrame({"row": pdf["row"], "code": codes}).merge(steps, on="code")[["row", "step", "score", "low", "high"]]
-
-        part = rows.select("row", "v").mapInPandas(run, "row bigint, step int, score bigint, low bigint, high bigint")
-        found = part if found is None else found.unionByName(part)
+    """The same by one search for each shard of names and block of values; what they find is merged for each value."""
+    names, airports, initial = _prepared(reference, shards)
+    entries = names.select("shard", F.lit("name").alias("kind"), F.col("name").alias("text"), "entity")
+    entries = entries.unionByName(airports.select("shard", F.lit("airport").alias("kind"), F.array_join("tokens", " ").alias("text"), "entity"))
+    entries = stored(entries.unionByName(initial.select("shard", F.lit("initial").alias("kind"), F.col("initial").alias("text"), "entity")))
+    rows = stored(rows)
+    values = stored(rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")))
+    blocks = max(1, math.ceil(values.count() / VALUES))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.withColumn("block", grid(blocks))
+    right = values.select("v", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), grid(shards).alias("shard"))
+    left = left.withColumn("shard", F.col("shard").cast("int"))
+
+    def search(names: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        of = {kind: list(zip(part["text"], part["entity"].tolist())) for kind, part in names.groupby("kind")}
+        prepared = Prepared([(text.split(" "), entity) for text, entity in sorted(of.get("airport", []))], dict(of.get("initial", [])))
+        typed = values["v"].tolist()
+        steps = Matcher(sorted(of.get("name", [])), prepared).steps(typed, every=True)
+        found = pd.DataFrame(steps, columns=["at", "step", "score", "low", "high"])
+        return found.assign(v=[typed[k] for k in found["at"]])[["v", "step", "score", "low", "high"]]
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "v string, step int, score bigint, low bigint, high bigint")
     low, high = F.min(F.struct("score", "low")).alias("a"), F.min(F.struct("score", (-F.col("high")).alias("high"))).alias("b")
-    best = found.groupBy("row", "step").agg(low, high).where(f"step = {EXACT} or a.low = -b.high")
-    best = best.groupBy("row").agg(F.min(F.struct("step", "a.score", "a.low")).alias("a"))
-    return rows.join(best, "row", "left").select("k", F.coalesce("a.low", F.lit(NOTHING)).alias("entity_id"), F.coalesce("a.score", F.lit(NO_MATCH)).alias("score"))
+    best = found.groupBy("v", "step").agg(low, high).where(f"step = {EXACT} or a.low = -b.high")
+    best = best.groupBy("v").agg(F.min(F.struct("step", "a.score", "a.low")).alias("a")).select("v", F.col("a.low").alias("entity_id"), F.col("a.score").alias("score"))
+    best = stored(best)
+    hot = values.where(F.col("n") * HOT >= rows.count()).select("v")
+    often = rows.join(F.broadcast(hot.join(best, "v", "left")), "v")  # at most HOT values
+    seldom = rows.join(F.broadcast(hot), "v", "left_anti").join(best, "v", "left")
+    both = often.unionByName(seldom)
+    return both.select("k", F.coalesce("entity_id", F.lit(NOTHING)).alias("entity_id"), F.coalesce("score", F.lit(NO_MATCH)).alias("score"))
