@@ -6,7 +6,7 @@ error, and of too many items those of the largest counts stay; the largest count
 becomes the floor. So for every item, kept or not, true weight <= count and
 true weight >= count - error, and the floor is at most weight / counters. The
 summaries are merged in a tree, where an item missing on one side takes that side's floor.
-Pass 2 counts the surviving candidates, at most ``counters``, exactly with a broadcast join.
+The total is added up beside them. Pass 2 counts the surviving candidates, at most ``counters``, exactly.
 
 NULL items are no items but count in the total; NULL and negative weights are zero. Ties at the cut
 of a summary are broken by the item's text; they do not matter for items above the threshold while
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entlink.session import BROADCAST_ROWS, stored
+
 _SUMMARY = "node bigint, item string, count bigint, error bigint, floor bigint, total bigint"
 
 
@@ -100,21 +102,25 @@ def space_saving(rows: DataFrame, item: str, weight: str | None, counters: int)
 def frequent_items(rows: DataFrame, item: str, weight: str | None, share: float, counters: int | None = None) -> DataFrame:
     """(item, weight, count, error, total) of the items with at least ``share`` of all weight.
 
-    ``weight`` is exact from the second pass; ``count`` and ``error`` are those of the summary.
+    ``weight`` is exact from the second pass; ``count`` and ``error`` are those of the summary, which is made once and stored.
+    ``rows`` is read twice, so hand over a frame that is cheap to read. Up to ``BROADCAST_ROWS`` candidates (counted) go to
+    every task; more are joined to rows that were added up by item before, so no hot item gathers.
     """
     counters = counters or max(1000, int(10 / share))
-    summary = space_saving(rows, item, weight, counters)
-    candidates = F.broadcast(summary.where("item is not null").select(F.col("item").alias("candidate"), "count", "error"))  # at most `counters` rows
+    summary = stored(space_saving(rows, item, weight, counters))
+    mark = summary.where("item is null").head()
+    total = F.lit(mark["total"] if mark else 0).cast("bigint")  # the summary adds up all weight exactly
+    candidates = summary.where("item is not null").select(F.col("item").alias("candidate"), "count", "error")
     w = F.lit(1) if weight is None else F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0))
+    rows = rows.select(F.col(item).cast("string").alias("item"), w.cast("bigint").alias("weight"))
+    if candidates.count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
+    else:
+        rows = rows.groupBy("item").agg(F.sum("weight").alias("weight"))
     exact = (
-        rows.select(F.col(item).cast("string").alias("item"), w.cast("bigint").alias("weight"))
-        .join(candidates, F.col("item") == F.col("candidate"), "left")
+        rows.join(candidates, F.col("item") == F.col("candidate"))
         .groupBy("candidate")
         .agg(F.sum("weight").alias("weight"), F.max("count").alias("count"), F.max("error").alias("error"))
     )
-    total = exact.agg(F.sum("weight").alias("total"))
-    return (
-        exact.crossJoin(F.broadcast(total))  # one row
-        .where((F.col("weight") > 0) & (F.col("weight") >= F.lit(share) * F.col("total")) & F.col("candidate").isNotNull())
-        .select(F.col("candidate").alias("item"), "weight", "count", "error", "total")
-    )
+    heavy = exact.withColumn("total", total).where((F.col("weight") > 0) & (F.col("weight") >= F.lit(share) * F.col("total")))
+    return heavy.select(F.col("candidate").alias("item"), "weight", "count", "error", "total")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entlink.llm import canonical, cooccur, frequent, packing, readability, termfreq, tokenizer, topn
-from entlink.session import mention_key, once, table
+from entlink.session import mention_key, once, stored, table
 
 
 def _unresolved(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +65,8 @@ def p3_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
-    entries = _entries(spark, d)
-    mentions = entries.select(mention_key("mention").alias("item"), F.col("name_freq").alias("weight"))
+    entries = stored(_entries(spark, d).withColumn("mention", mention_key("mention")))  # each of two columns is read twice
+    mentions = entries.select(F.col("mention").alias("item"), F.col("name_freq").alias("weight"))
     entities = entries.select(F.explode("top_candidates").alias("item", "weight"))
     parts = [frequent.frequent_items(rows, "item", "weight", 0.01).withColumn("kind", F.lit(kind)) for kind, rows in (("mention", mentions), ("entity", entities))]
     return parts[0].unionByName(parts[1])
