@@ -84,9 +84,9 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def _mention_counts(spark: SparkSession, d: str) -> DataFrame:
     records = once(table(spark, d, "keyphraseness").select("record_id", "batch_no", "mention", "linked", "total"), "record_id")
-    named = records.withColumn("mention", mention_key("mention"))
+    named = stored(records.withColumn("mention", mention_key("mention")).drop("record_id"))
     counts = termfreq.term_counts(named, "mention", "batch_no", ["linked", "total"])
-    return termfreq.marked(counts, "total", table(spark, d, "keyphraseness"), "batch_no", 3, 0.4)
+    return termfreq.marked(counts, "total", named, "batch_no", 3, 0.4)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Problem 5: how often every distinct term occurs, and in how many records, by heavy-light aggregation.
 
 Heavy terms (those that may hold at least ``heavy_share`` of all rows) are found with a space-saving
-summary, so there are at most a fixed number of them. Their codes go to every task, which adds them
+summary, so there are at most 2 / ``heavy_share`` of them. Their codes go to every task, which adds them
 up exactly in local counter arrays, one slot per term and record; only the filled slots are
 shuffled. All other terms are shuffled once on the term itself: none of them can be large enough to
 hold a task up. The two count tables are disjoint and are put together by a union.
@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entlink.llm.frequent import space_saving
+from entlink.session import stored
 
 #: Filled counter slots a task keeps before it passes them on.
 SLOTS = 500_000
@@ -28,14 +29,19 @@ SLOTS = 500_000
 
 def heavy_terms(rows: DataFrame, term: str, heavy_share: float) -> list[str]:
     """At most 2 / heavy_share terms that hold all terms of at least ``heavy_share`` of the rows."""
-    summary = space_saving(rows, term, None, max(2, round(2 / heavy_share)))
-    total = F.sum("total").over(Window.partitionBy(F.lit(0)))
-    found = summary.withColumn("all", total).where((F.col("item").isNotNull()) & (F.col("count") >= F.col("all") * heavy_share))
-    return sorted(r["item"] for r in found.select("item").collect())  # bounded: see above
+    summary = stored(space_saving(rows, term, None, max(2, round(2 / heavy_share))))
+    mark = summary.where("item is null").head()
+    least = heavy_share * (mark["total"] if mark else 0)
+    return sorted(r["item"] for r in summary.where(F.col("item").isNotNull() & (F.col("count") >= least)).select("item").collect())  # bounded: see above
 
 
-def term_counts(rows: DataFrame, term: str, record: str, weights: list[str], heavy_share: float = 0.002) -> DataFrame:
-    """(term, <weights summed>, n_records) of every distinct term; n_records counts distinct values of ``record``."""
+def term_counts(rows: DataFrame, term: str, record: str, weights: list[str], heavy_share: float | None = None) -> DataFrame:
+    """(term, <weights summed>, n_records) of every distinct term; n_records counts distinct values of ``record``.
+
+    ``heavy_share`` is by default a quarter of a shuffle partition's share, so a term that is not heavy cannot
+    hold up a task at any number of partitions. ``rows`` is read three times; hand over a frame that is cheap to read.
+    """
+    heavy_share = heavy_share or 1 / (4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kind = rows.schema[record].dataType.simpleString()
     if kind not in ("int", "bigint"):
         raise TypeError("the record column must be INT or BIGINT")
@@ -51,7 +57,8 @@ def term_counts(rows: DataFrame, term: str, record: str, weights: list[str], hea
     def per_term(per_record: DataFrame) -> DataFrame:
         return per_record.groupBy("term").agg(*sums, F.count("rec").alias("n_records"))
 
-    light = per_term(rows.where(~F.col("term").isin(heavy)).repartition("term").groupBy("term", "rec").agg(*sums))
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in heavy], "term string"))  # at most 2 / heavy_share terms
+    light = per_term(rows.join(listed, "term", "left_anti").repartition("term").groupBy("term", "rec").agg(*sums))
     if heavy:
         spread = np.array(heavy, dtype=object)
 
@@ -94,7 +101,7 @@ def term_counts(rows: DataFrame, term: str, record: str, weights: list[str], hea
                 yield batch_of(*reduced())
 
         schema = "term string, rec bigint" + "".join(f", {n} bigint" for n in names)
-        local = rows.where(F.col("term").isin(heavy)).mapInArrow(count_local, schema)
+        local = rows.join(listed, "term", "left_semi").mapInArrow(count_local, schema)
         light = light.unionByName(per_term(local.groupBy("term", "rec").agg(*sums)))
     return light.select(F.col("term").alias(term), *[F.col(n).alias(w) for n, w in zip(names, weights)], "n_records")
 
