@@ -1,13 +1,13 @@
 """Problem 8: filling containers of fixed capacity with items of varying length.
 
-First-fit decreasing in randomised groups: every item goes to a group by a hash, so groups are of
-similar make-up and independent; the number of groups grows with the items, the size of a group
+First-fit decreasing in randomised groups: every item goes to a group by a hash of its key and size, so groups are of
+similar make-up, independent, and the same for any layout of the input; the number of groups grows with the items, the size of a group
 does not. Within a group the first container with enough room is found by descending a tournament
 tree over the free room of the containers, one comparison a level.
 
 An item larger than the capacity is the only one that is cut: into full containers and one rest,
 which is packed like any other item. Items of size zero or NULL go into no container. Repeated
-rows are items of their own. An empty table gives no container.
+rows are items of their own; they are counted before the shuffle and spread over the groups, ``TOGETHER`` to each. An empty table gives no container.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Items in a group, about. Larger groups leave less room unused and take longer in one task.
 GROUP_ITEMS = 4096
+#: Most repeated rows of one key and size that go to one group together.
+TOGETHER = 64
 
 
 class FirstFit:
@@ -57,17 +59,21 @@ class FirstFit:
 def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_items: int, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(container_id, items, used, unused) with items = [(item, part, size)] of each container.
 
-    ``part`` numbers the pieces of an item that was cut, 0 for all others. One shuffle carries key,
-    part and size only. ``n_items`` is the number of items, about; it sets the number of groups.
+    ``part`` numbers the pieces of an item that was cut, 0 for all others. The shuffles carry key
+    and size only. ``n_items`` is the number of items, about; it sets the number of groups.
     """
     kind = sizes.schema[key].dataType.simpleString()
     rows = sizes.select(F.col(key).alias("item"), F.col(size).cast("bigint").alias("size")).where("size > 0")
     groups = max(1, math.ceil(n_items / group_items))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("item", F.monotonically_increasing_id()), F.lit(groups)))
+    rows = rows.groupBy("item", "size").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / TOGETHER))))
+    rows = rows.withColumn("n", F.least(F.col("n") - F.col("again") * TOGETHER, F.lit(TOGETHER)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("item", "size", "again"), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         grp = int(pdf["grp"].iloc[0])
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["n"])]
         full: list[tuple] = []
         pieces: list[tuple] = []
         for item, n in zip(pdf["item"].tolist(), pdf["size"].tolist()):
