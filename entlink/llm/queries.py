@@ -30,10 +30,16 @@ def _link_records(spark: SparkSession, d: str) -> DataFrame:
     return once(records, "record_id")
 
 
+def far_above_chance(parts: int, times: int) -> Column:
+    """Whether a pair is in one of ``parts`` of the records and ``times`` as often as by chance; products of counts pass 64 bits at billions of records."""
+    n_ab, n_a, n_b, n = (F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n_a", "n_b", "n_records"))
+    return (n_ab * parts >= n) & (n_ab * n >= n_a * n_b * times)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pages in at least 5 records and a 200th of them, three times more often than by chance."""
     pairs = cooccur.cooccurrence(_link_records(spark, d), "pages", min_count=5, min_share=1 / 200)
-    return pairs.where("n_ab * 200 >= n_records and n_ab * n_records >= 3 * n_a * n_b").select("src_a", "src_b")
+    return pairs.where(far_above_chance(200, 3)).select("src_a", "src_b")
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -123,6 +123,7 @@ def test_shards_give_what_one_list_gives(spark, monkeypatch):
 @pytest.mark.parametrize("least", [1, 3])
 def test_cooccurrence_against_brute_force(spark, monkeypatch, least):
     monkeypatch.setattr(cooccur, "BLOCK", 40)
+    monkeypatch.setattr(cooccur, "LONG", 5)  # records of up to 15 items: several pieces
     rng = random.Random(6)
     records = [(k, [rng.randrange(-3, 12) for _ in range(rng.randrange(0, 15))] + [None] * (k % 2)) for k in range(60)] + [(98, None), (99, [])]
     rows = cooccur.cooccurrence(spark.createDataFrame(records, "id bigint, l array<int>"), "l", least).collect()
@@ -252,3 +253,106 @@ def test_reading_levels_hold_out(spark):
         assert levels.level(junk) is None
     docs = spark.createDataFrame([(1, hard), (2, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.reading_level for r in readability.reading_levels(docs, levels).collect()}[2] is None
+
+
+def test_syllables_by_hand_and_words_across_texts():
+    words_ = {"cat": 1, "quality": 3, "being": 2, "prism": 2, "chasm": 2, "boxes": 2, "churches": 2, "baked": 1, "ended": 2, "actuation": 4}
+    assert {w: readability.syllables(w) for w in words_} == words_
+    texts = ["The cat sat on the mat. It was warm.", "", "* a list", "THE DOG RAN TO THE CAT. IT SAT.", "Der Hund läuft. ", "The “fat” cat—it’s old—sat in the hut!” It was <b class='" + "x" * 500 + "'>a</b> big one."]
+    together = readability.counted(texts)
+    for text, (rows, share) in zip(texts, together):
+        (alone, part), = readability.counted([text])
+        assert rows.tolist() == alone.tolist() and share == part
+    assert together[0][0][:, readability.WORDS].sum() == 9 and together[3][0][:, readability.WORDS].sum() == 6  # two words are no sentence
+    assert together[5][0][:, readability.WORDS].sum() == 14  # a long tag is no text
+
+
+def test_reading_levels_of_empty_tables_and_clashing_names(spark):
+    levels = readability.Levels([("The cat sat on the mat. The dog ran to the hut.", 1), ("The epiphenomenal interpretation of the periodization typified the fragmentation of the epistemological taxonomy.", 5)])
+    docs = spark.createDataFrame([(1, "The cat sat on the mat. The dog ran to it.", 9), (1, "The cat sat on the mat. The dog ran to it.", 9), (None, None, None), (3, "", 1)], "doc_id bigint, text string, reading_level int")
+    got = sorted((r.doc_id or 0, r.reading_level or 0) for r in readability.reading_levels(docs, levels).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (3, 0)]
+    assert readability.reading_levels(docs.limit(0), levels).count() == 0
+
+
+def test_top_n_of_a_hot_group_drops_rows_before_they_meet(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [("hot" if rng.random() < 0.9 else f"g{rng.randrange(200)}", k, rng.randrange(100_000)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, i int, s int").repartition(16)
+    want = {}
+    for g in {r[0] for r in rows}:
+        best = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:3]
+        want.update({(g, k + 1): r[1] for k, r in enumerate(best)})
+    kept = topn._kept(df, "g", "i", "s", 3)
+    assert kept.where("g = 'hot'").count() <= 16 * 3
+    survivors = topn._survivors(kept.cache(), 3)
+    least = sorted((r[2] for r in rows if r[0] == "hot"), reverse=True)[2]
+    hot = [r.s for r in survivors.where("g = 'hot'").collect()]
+    bound = max(r.s for r in kept.where("g = 'hot' and r = 3").collect())
+    assert least >= bound and min(hot) >= bound and len(hot) < 16 * 3  # what is below the bound never meets
+    plan = survivors._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for most in (200_000, 0):  # broadcast bounds, then bounds joined by group and salt
+        monkeypatch.setattr(topn, "BROADCAST_ROWS", most)
+        assert {(r.g, r["rank"]): r.i for r in topn.top_n(df, "g", "i", "s", 3).collect()} == want
+
+
+def test_frequent_items_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [f"i{min(int(rng.paretovariate(0.9)), 900)}" for _ in range(5000)] + [None] * 50
+    df = spark.createDataFrame([(i,) for i in items], "item string").repartition(5)
+    want = {k: n for k, n in ((k, items.count(k)) for k in set(items) - {None}) if n >= 0.03 * len(items)}
+    for most in (200_000, 0):
+        monkeypatch.setattr(frequent, "BROADCAST_ROWS", most)
+        rows = frequent.frequent_items(df, "item", None, 0.03).collect()
+        assert {r["item"]: r["weight"] for r in rows} == want and {r["total"] for r in rows} == {len(items)}
+
+
+def test_lifts_of_billions_of_records(spark):
+    big = spark.createDataFrame([(1, 2, 1_900_000_000, 1_900_000_000, 1_900_000_000, 6_000_000_000), (1, 3, 10, 1_900_000_000, 1_900_000_000, 6_000_000_000)], "src_a int, src_b int, n_ab bigint, n_a bigint, n_b bigint, n_records bigint")
+    from entlink.llm import queries
+
+    assert [r.src_b for r in big.where(queries.far_above_chance(200, 3)).collect()] == [2]
+
+
+def test_containers_do_not_depend_on_the_layout(spark):
+    rng = random.Random(15)
+    sizes = [(k, rng.randrange(1, 60)) for k in range(300)] + [(None, 7)] * 400 + [(5, 9)] * 3
+    found = []
+    for n in (1, 7):
+        rng.shuffle(sizes)
+        rows = packing.pack(spark.createDataFrame(sizes, "doc_id bigint, n bigint").repartition(n), "doc_id", "n", 100, len(sizes), 100).collect()
+        found.append(sorted((r.container_id, sorted((i["item"] or -1, i["part"], i["size"]) for i in r["items"])) for r in rows))
+    assert found[0] == found[1]
+    assert sum(len(items) for _, items in found[0]) == len(sizes)
+
+
+@pytest.mark.parametrize("swaps", [False, True])
+def test_bk_forest_of_many_signs(swaps):
+    rng = random.Random(16)
+    signs = [chr(0x4E00 + k) for k in range(100)]
+    word = lambda: "".join(rng.choice(signs) for _ in range(rng.randrange(1, 4)))
+    entries = sorted({word() for _ in range(200)})
+    queries = entries[:20] + [word() for _ in range(60)]
+    forest = bktree.BKForest(entries)
+    assert forest.peq.shape[1] == bktree.SIGNS + 2
+    measure = canonical.edits if swaps else plain_levenshtein
+    limit = np.array([k % 3 for k in range(80)])
+    q, e, _ = forest.search(queries, limit, swaps=swaps)
+    got = {(i, j) for i, j in zip(q.tolist(), e.tolist()) if measure(queries[i], entries[j]) <= limit[i]}
+    want = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(entries) if measure(a, b) <= limit[i]}
+    assert got == want and (swaps or len(got) == len(q))
+
+
+def test_map_values_of_nulls_and_hot_values(spark, monkeypatch):
+    names_df = spark.createDataFrame([("Castle Gramorel", 1), ("Old Vashkun", 2), ("Lake Druvena", 3)], "name string, entity bigint")
+    values = [None, "", " \t", "castle gramorle"] + ["Old Vashkun"] * 50 + ["nothing at all"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "link_id bigint, v string")
+    want = [-1, -1, -1, 1] + [2] * 50 + [-1]
+    for shard, hot in ((100, 1000), (2, 1000), (2, 3)):
+        monkeypatch.setattr(canonical, "SHARD", shard)
+        monkeypatch.setattr(canonical, "HOT", hot)
+        got = {r.link_id: r.entity_id for r in canonical.map_values(rows, "link_id", "v", names_df).collect()}
+        assert got == dict(enumerate(want))
+    empty = spark.createDataFrame([], "name string, entity bigint")
+    assert {r.entity_id for r in canonical.map_values(rows, "link_id", "v", empty).collect()} == {-1}
