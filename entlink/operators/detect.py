@@ -19,7 +19,7 @@ def spots(docs: DataFrame, dictionary: DataFrame, most: int = tk.NGRAM_SIZE) ->
     """(doc_id, n_tokens, pos, n, mention, off, len, linked, total, name_freq, n_candidates, keyphraseness): every n-gram that is a dictionary entry."""
     entries = dictionary.groupBy("mention").agg(F.first("linked").alias("linked"), F.first("total").alias("total"), F.first("name_freq").alias("name_freq"), F.count("*").alias("n_candidates"))
     found = tk.dictionary_ngrams(docs, entries, most).drop("ngram")
-    return found.join(entries, "mention").withColumn("keyphraseness", F.col("linked") / F.col("total"))
+    return found.withColumn("keyphraseness", F.col("linked") / F.col("total"))
 
 
 def few_candidates(found: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:

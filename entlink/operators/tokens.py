@@ -2,7 +2,8 @@
 
 Offsets of tokens are running sums over a text. Built-in functions can only give them by a window,
 which shuffles every token of the corpus; the tokenizer here is one narrow Arrow stage instead.
-N-grams are built in the same stage and, where a dictionary is given, only those whose hash occurs in it.
+N-grams are built in the same stage and, where a dictionary is given, only those that pass a sieve made of it: a Bloom
+filter of at most 128 MB, whatever the dictionary's size.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from entlink.functions.arrays import slices, text_buffer
 from entlink.functions.text import DROP, KEEP
+from entlink.session import maybe_broadcast, stored
 
 NGRAM_SIZE = 11
 
@@ -88,30 +91,76 @@ def _hashes(tokens: pa.Array) -> np.ndarray:
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-class MentionHashes:
-    """Hashes of all dictionary entries: a sieve before n-grams are built. It lets every entry through and few others."""
+_WORD_BITS, _BLOCK_BITS = 16, 30  # fewest and most bits of a sieve, as powers of two
+_PLACES = 3
+_PAGE = 16  # bits of a page, as a power of two
 
-    def __init__(self, mentions: list[str], most: int):
-        entries = [w for w in (m.split(" ") for m in mentions) if len(w) <= most]
-        flat = _hashes(pa.array([t for w in entries for t in w], pa.string()))
-        size = np.array([len(w) for w in entries], np.int64)
-        begin = np.cumsum(size) - size
-        total = np.zeros(len(entries), np.uint64)
-        for k in range(int(size.max()) if len(size) else 0):
-            rows = size > k
-            total[rows] = total[rows] * _STEP + flat[begin[rows] + k]
-        self.keys = np.unique(total)
-        self.first = np.unique(flat[begin]) if len(begin) else total
-        self.longest = int(size.max()) if len(size) else 0
 
-    @staticmethod
-    def _among(pool: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(pool):
-            return np.zeros(len(h), bool)
-        return pool[np.minimum(np.searchsorted(pool, h), len(pool) - 1)] == h
+def _entry_hashes(mentions: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all entries of at most ``most`` tokens, and of their first tokens."""
+    words = pc.split_pattern(mentions.cast(pa.large_string()), " ")
+    size = pc.list_value_length(words).to_numpy().astype(np.int64)
+    flat = _hashes(pc.list_flatten(words))
+    begin = np.cumsum(size) - size
+    begin, size = begin[size <= most], size[size <= most]
+    total = np.zeros(len(size), np.uint64)
+    for k in range(int(size.max()) if len(size) else 0):
+        rows = size > k
+        total[rows] = total[rows] * _STEP + flat[begin[rows] + k]
+    return total, flat[begin] if len(begin) else total
 
 
-def _slices_of(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _places(h: np.ndarray, bits: int, first: bool) -> list[np.ndarray]:
+    """The places of a hash in a sieve of 2^bits bits; hashes of first tokens have places of their own."""
+    h = h * np.uint64(0xC2B2AE3D27D4EB4F if first else 0x165667B19E3779F9)
+    out = []
+    for k in range(_PLACES):
+        h ^= h >> np.uint64(29 + k)
+        h = h * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
+    return out
+
+
+class Sieve:
+    """A Bloom filter of all dictionary entries and of their first tokens: it lets every entry through and few others."""
+
+    def __init__(self, bits: int, longest: int, pages: dict[int, bytes]):
+        self.bits, self.longest = bits, longest
+        self.data = np.zeros(1 << (bits - 3), np.uint8)
+        size = 1 << (_PAGE - 3)
+        for page, content in pages.items():
+            self.data[page * size : (page + 1) * size] = np.frombuffer(content, np.uint8)
+
+    def among(self, h: np.ndarray, first: bool = False) -> np.ndarray:
+        ok = np.ones(len(h), bool)
+        for place in _places(h, self.bits, first):
+            ok &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def sieve_of(entries: DataFrame, n: int, most: int) -> Sieve:
+    """The sieve of ``n`` entries(mention), about 16 bits for each; built on the executors page by page. The driver gets at most 128 MB."""
+    bits = min(max(_WORD_BITS, (16 * max(n, 1) - 1).bit_length()), _BLOCK_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, first = _entry_hashes(batch.column(0), most)
+            place = np.unique(np.concatenate([*_places(whole, bits, False), *_places(np.unique(first), bits, True)]))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> _PAGE).astype(np.int32)), pa.array((place & ((1 << _PAGE) - 1)).astype(np.int32))], names=["page", "place"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        content = np.zeros(1 << _PAGE, np.uint8)
+        content[pdf["place"].to_numpy()] = 1
+        return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "content": [np.packbits(content, bitorder="little").tobytes()]})
+
+    marked = entries.select("mention").mapInArrow(mark, "page int, place int").distinct()
+    pages = {r["page"]: bytes(r["content"]) for r in marked.groupBy("page").applyInPandas(fill, "page int, content binary").collect()}
+    size = F.size(F.split("mention", " "))
+    longest = entries.select(size.alias("k")).where(F.col("k") <= most).agg(F.max("k").alias("k")).head()["k"]
+    return Sieve(bits, longest or 0, pages)
+
+
+def _slices_of(batch: pa.RecordBatch, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
     at = 0
@@ -121,14 +170,14 @@ def _slices_of(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[p
         at = upto
 
 
-def _ngram_batches(batch: pa.RecordBatch, most: int, sieve: MentionHashes | None, key: str) -> Iterator[pa.RecordBatch]:
+def _ngram_batches(batch: pa.RecordBatch, most: int, sieve: Sieve | None, key: str) -> Iterator[pa.RecordBatch]:
     row, position, token, offset, length = _tokenize(batch.column(1), False)
     n_tokens = np.bincount(row, minlength=batch.num_rows)
     left = n_tokens[row] - position
     start = np.arange(len(row))
     if sieve is not None:
         h = _hashes(token)
-        start = start[MentionHashes._among(sieve.first, h)]
+        start = start[sieve.among(h, first=True)]
         total = np.zeros(len(start), np.uint64)
         loose = np.zeros(len(start), np.uint64)
         dash = np.asarray(pc.equal(token, "-"))
@@ -152,7 +201,9 @@ def _ngram_batches(batch: pa.RecordBatch, most: int, sieve: MentionHashes | None
             loose = np.where(hyphen, loose, loose * _STEP + own)
             skipped |= hyphen
             pending = hyphen
-            ok = MentionHashes._among(sieve.keys, total) | (skipped & ~hyphen & MentionHashes._among(sieve.keys, loose)) | (skipped & hyphen)
+            ok = sieve.among(total) | (skipped & hyphen)
+            more = np.flatnonzero(skipped & ~hyphen & ~ok)
+            ok[more] = sieve.among(loose[more])
             at = start[ok]
         if len(at):
             words = [token.take(pa.array(at + k)) for k in range(n)]
@@ -169,11 +220,7 @@ def _ngram_batches(batch: pa.RecordBatch, most: int, sieve: MentionHashes | None
             )
 
 
-#: Most dictionary entries whose hashes (8 bytes each) are sent to every task.
-SIEVE_ENTRIES = 5_000_000
-
-
-def ngrams(docs: DataFrame, most: int = NGRAM_SIZE, key: str = "doc_id", text: str = "text", sieve: MentionHashes | None = None) -> DataFrame:
+def ngrams(docs: DataFrame, most: int = NGRAM_SIZE, key: str = "doc_id", text: str = "text", sieve: Sieve | None = None) -> DataFrame:
     """(key, n_tokens, pos, n, ngram, off, len) of all n-grams of 1..most tokens, or of those that pass ``sieve``.
 
     ``len`` runs from the first token to the end of the last in the original text.
@@ -191,20 +238,24 @@ def ngrams(docs: DataFrame, most: int = NGRAM_SIZE, key: str = "doc_id", text: s
 
 
 def dictionary_ngrams(docs: DataFrame, mentions: DataFrame, most: int = NGRAM_SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, pos, n, ngram, mention, off, len): the n-grams that are entries of ``mentions``(mention).
+    """(key, n_tokens, pos, n, ngram, mention, off, len, ...): the n-grams that are entries of ``mentions``(mention, ...), with the entry's other columns.
 
-    An n-gram that is no entry is looked up once more with each `` - `` as a blank. Up to
-    SIEVE_ENTRIES entries (counted first), their hashes sieve the n-grams where they are made; a larger
-    dictionary is joined to all n-grams. The exact look-up is a join in either case.
+    An n-gram that is no entry is looked up once more with each `` - `` as a blank. A sieve of the entries passes
+    the n-grams where they are made; one inner join on the looked-up form decides. The entries, one row for each mention, are
+    broadcast while few, by count.
     """
-    entries = mentions.select("mention").where("mention is not null").distinct()
-    found = entries.limit(SIEVE_ENTRIES + 1).toPandas()["mention"].tolist()  # bounded by the limit
-    sieve = MentionHashes(found, most) if len(found) <= SIEVE_ENTRIES else None
-    grams = ngrams(docs, most, key, text, sieve)
-    plain = grams.withColumn("other", F.when(F.contains("ngram", F.lit(" - ")), F.replace("ngram", F.lit(" - "), F.lit(" "))))
-    exact = plain.join(entries.withColumnRenamed("mention", "exact"), F.col("ngram") == F.col("exact"), "left")
-    both = exact.join(entries.withColumnRenamed("mention", "loose"), (F.col("other") == F.col("loose")) & F.col("exact").isNull(), "left")
-    return both.where("exact is not null or loose is not null").select(key, "n_tokens", "pos", "n", "ngram", F.coalesce("exact", "loose").alias("mention"), "off", "len")
+    entries = stored(mentions.where("mention is not null").dropDuplicates(["mention"]))
+    n = entries.count()
+    grams = ngrams(docs, most, key, text, sieve_of(entries, n, most))
+    hyphen = F.replace("ngram", F.lit(" - "), F.lit(" "))
+    forms = F.when(F.contains("ngram", F.lit(" - ")), F.array("ngram", hyphen)).otherwise(F.array("ngram"))
+    looked = grams.select("*", F.posexplode(forms).alias("loose", "form"))
+    # an entry knows the entries with hyphens that would look it up second, so an exact hit needs no join of its own
+    tight = entries.where(F.contains("mention", F.lit(" - "))).select(F.replace("mention", F.lit(" - "), F.lit(" ")).alias("form"), F.col("mention").alias("exact"))
+    known = entries.withColumnRenamed("mention", "form").join(tight.groupBy("form").agg(F.collect_set("exact").alias("exact")), "form", "left")
+    hits = looked.join(maybe_broadcast(known, n), "form").where("loose = 0 or exact is null or not array_contains(exact, ngram)")
+    rest = [c for c in entries.columns if c != "mention"]
+    return hits.select(key, "n_tokens", "pos", "n", "ngram", F.col("form").alias("mention"), "off", "len", *rest)
 
 
 def context_bounds(position: Column, n_tokens: Column, width: int = 50) -> tuple[Column, Column]:
