@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import html
+import re
 from functools import reduce
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,19 +18,41 @@ KEEP = ".!-:"
 BARE_TAGS = ["big", "small", "code", "del", "math", "noinclude", "nowiki", "ref", "s", "sub", "sup", "tt", "u", "var"]
 ATTRIBUTE_TAGS = ["abbr", "span"]
 
-#: Regular expression classes of the signs above, valid for Java and RE2.
-DROP_CLASS = r" \t\n\r\f\x{2014}/*`\"'()\[\]{},\x{2018}\x{2019}\x{201c}\x{201d};?_\x{00a0}"
-KEEP_CLASS = r".!:\-"
+#: How Java and RE2 write the signs above in a class.
+_IN_CLASS = {"\t": r"\t", "\n": r"\n", "\r": r"\r", "\f": r"\f"} | {c: "\\" + c for c in "()[]-"}
+DROP_CLASS, KEEP_CLASS = ("".join(_IN_CLASS.get(c, c if c.isascii() else rf"\x{{{ord(c):04x}}}") for c in signs) for signs in (DROP, KEEP))
+
+_XML_NAMES = {"lt": 60, "gt": 62, "amp": 38, "quot": 34, "apos": 39}
+_REFERENCE = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _resolved(text: str, names: dict[str, int]) -> str:
+    """Named and numeric references of one pass, from left to right; what is none stays."""
+
+    def sign(m: re.Match) -> str:
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else names.get(m[3])
+        return m[0] if code is None or not 0 < code < 0x110000 or 0xD800 <= code < 0xE000 else chr(code)
+
+    return _REFERENCE.sub(sign, text)
+
+
+def unescaped(text: str | None) -> str | None:
+    """References resolved four times: those of XML, twice those of HTML 4, those of XML. They need their semicolon."""
+    for names in (_XML_NAMES, name2codepoint, name2codepoint, _XML_NAMES):
+        if not text or "&" not in text:
+            return text
+        text = _resolved(text, names)
+    return text
 
 
 def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else html.unescape(html.unescape(x)))
+    return s.map(unescaped)
 
 
 def unescape(c: Column) -> Column:
-    """HTML and XML entities resolved, twice. Only values with an ampersand go to Python."""
+    """HTML and XML references resolved, four times over. Only values that hold a reference go to Python."""
     resolve = F.pandas_udf(_unescape, StringType())
-    return F.coalesce(resolve(F.when(F.contains(c, F.lit("&")), c)), c)
+    return F.coalesce(resolve(F.when(F.contains(c, F.lit("&")) & c.rlike("&#?[A-Za-z0-9]+;"), c)), c)
 
 
 def remove_tags(c: Column, tags: list[str]) -> Column:
@@ -42,15 +65,20 @@ def remove_tags_with_attributes(c: Column, tags: list[str]) -> Column:
     return reduce(lambda x, t: F.regexp_replace(x, f"<{t}[^>]*>([^<]*)</{t}>", "$1"), tags, c)
 
 
-def _plain(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(c), "<!--[^-]*-->", "")
+def _untagged(c: Column) -> Column:
+    c = F.regexp_replace(c, "<!--[^-]*-->", "")
     c = remove_tags_with_attributes(remove_tags(c, BARE_TAGS), ATTRIBUTE_TAGS)
-    c = F.replace(F.replace(c, F.lit("<br>"), F.lit(" ")), F.lit("<br />"), F.lit(" "))
-    return F.translate(c, DROP, " " * len(DROP))
+    return F.replace(F.replace(c, F.lit("<br>"), F.lit(" ")), F.lit("<br />"), F.lit(" "))
+
+
+def _plain(c: Column) -> Column:
+    c = F.lower(c)
+    return F.when(F.contains(c, F.lit("<")), _untagged(c)).otherwise(c)  # most texts need none of the passes over tags
 
 
-def _spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, " +", " "))
+def _spaced(c: Column, signs: str) -> Column:
+    """One blank for each run of ``signs``, none at either end."""
+    return F.trim(F.regexp_replace(c, f"[{signs}]+", " "))
 
 
 def normalize(c: Column, entities: bool = True) -> Column:
@@ -59,13 +87,12 @@ def normalize(c: Column, entities: bool = True) -> Column:
     Markup in ``entities`` form is resolved first unless the caller knows that there is none.
     """
     c = _plain(unescape(c) if entities else c)
-    return _spaced(F.regexp_replace(c, "([.!:-])", " $1 "))
+    return _spaced(F.regexp_replace(c, f"([{KEEP_CLASS}])", " $1 "), DROP_CLASS)
 
 
 def normalize_no_delimiters(c: Column, entities: bool = True) -> Column:
     """As :func:`normalize`, without the signs of KEEP."""
-    c = _plain(unescape(c) if entities else c)
-    return _spaced(F.translate(c, KEEP, " " * len(KEEP)))
+    return _spaced(_plain(unescape(c) if entities else c), DROP_CLASS + KEEP_CLASS)
 
 
 def capitalize_first(c: Column) -> Column:

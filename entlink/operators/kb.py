@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entlink.functions import text as T
-from entlink.session import once, table
+from entlink.session import once, spread, table
 
 MINIMUM_COUNT = 5
 SHARE_LIMIT = 0.02
@@ -88,7 +88,7 @@ def link_counters(edges: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, docno, filename, text); doc_id is unique."""
-    return table(spark, d, "documents").select("doc_id", "docno", "filename", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "docno", "filename", "text"), "doc_id")
 
 
 def document_links(docs: DataFrame, edges: DataFrame) -> DataFrame:

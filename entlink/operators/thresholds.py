@@ -79,4 +79,6 @@ def _bp(c: pd.DataFrame, a: np.ndarray, b: np.ndarray, rel: np.ndarray) -> np.nd
     """Final score of each candidate."""
     mention = _numbered(c)
     size = int(mention.max()) + 1
+    counts = rel >= bp.LEAST_RELATED
+    a, b, rel = a[counts], b[counts], rel[counts]
     return bp.solved(mention, c["compat"].to_numpy(float) / size, a, b, 2 * rel / (size * max(size - 1, 1)), 0.0)[0]

@@ -98,7 +98,7 @@ class Base:
 
     @cached_property
     def rel(self) -> DataFrame:
-        return self.kept(links.relatedness(self.inlinks))
+        return self.kept(links.relatedness(self.inlinks, self.common))
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -147,7 +147,7 @@ _CTE["cocited"] = """SELECT p.*, l, coalesce(x.popularity, 1) AS p1, coalesce(y.
 FROM rpair p JOIN lsize ON p.doc_id = lsize.doc_id LEFT JOIN pop x ON entity1 = x.entity_id LEFT JOIN pop y ON entity2 = y.entity_id"""
 _CHANCE = f"(ln({PAIRS}::DOUBLE) - 2 * ln({LINKS}::DOUBLE))"
 _SCORERS = {
-    "basic": ("SELECT s.*, compat / l AS loc, 0 AS absent FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id", "SELECT r.*, 2 * rel / (l * (l - 1)) AS pr FROM rpair r JOIN lsize ON r.doc_id = lsize.doc_id"),
+    "basic": ("SELECT s.*, compat / l AS loc, 0 AS absent FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id", "SELECT r.*, 2 * rel / (l * (l - 1)) AS pr FROM rpair r JOIN lsize ON r.doc_id = lsize.doc_id WHERE rel >= 1e-6"),
     "full": (
         f"SELECT s.*, ln(freq / name_freq::DOUBLE) / l AS loc, 2 * {_CHANCE} / (l * greatest(l - 1, 1)) AS absent FROM scored s JOIN lsize ON s.doc_id = lsize.doc_id",
         f"SELECT *, 2 * CASE WHEN c <= 0 OR c / p1::DOUBLE / p2 <= {PAIRS / LINKS / LINKS!r}::DOUBLE THEN {_CHANCE} ELSE ln(c) - ln(p1) - ln(p2) END / (l * (l - 1)) AS pr FROM cocited",

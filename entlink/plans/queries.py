@@ -85,13 +85,13 @@ def normalized_target(spark: SparkSession, d: str) -> DataFrame:
 def normalize_no_delims(spark: SparkSession, d: str) -> DataFrame:
     """Length and hash-like figures of the texts normalised without delimiters."""
     text = T.normalize_no_delimiters(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(text).alias("length"), F.size(F.split(text, " ")).alias("words"), F.substring(text, 1, 40).alias("start"))
+    return kb.documents(spark, d).select("doc_id", F.length(text).alias("length"), F.size(F.split(text, " ")).alias("words"), F.substring(text, 1, 40).alias("start"))
 
 
 @query
 def normalize_no_delims_text(spark: SparkSession, d: str) -> DataFrame:
     """The whole texts normalised without delimiters."""
-    return table(spark, d, "documents").select("doc_id", T.normalize_no_delimiters(F.col("text")).alias("normalized"))
+    return kb.documents(spark, d).select("doc_id", T.normalize_no_delimiters(F.col("text")).alias("normalized"))
 
 
 # --- dictionary ------------------------------------------------------------------------------------------------
@@ -203,14 +203,13 @@ def tfidf_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tokens_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with offsets, summed up per document."""
-    rows = tk.tokens(table(spark, d, "documents"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("off").alias("sum_off"), F.sum("len").alias("sum_len"), F.count_distinct("token").alias("n_distinct"), F.max_by("token", "pos").alias("last_token"))
+    return tk.token_figures(kb.documents(spark, d))
 
 
 @query
 def ngrams_1_11(spark: SparkSession, d: str) -> DataFrame:
     """All n-grams of up to 11 tokens: per n their number, offsets and lengths."""
-    rows = tk.ngrams(table(spark, d, "documents"))
+    rows = tk.ngrams(kb.documents(spark, d))
     return rows.groupBy("n").agg(F.count("*").alias("n_grams"), F.sum("off").alias("sum_off"), F.sum("len").alias("sum_len"), F.sum(F.length("ngram")).alias("sum_text"))
 
 

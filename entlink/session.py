@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small table of one file is parted by ``key``, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def mention_key(c: Column | str) -> Column:
     """Lower case, each run of blank, tab or no-break space as one blank, none at either end."""
     c = F.col(c) if isinstance(c, str) else c

@@ -123,6 +123,68 @@ def test_belief_propagation_by_hand(spark):
     assert {(r.pos, r.entity_id) for r in detect.best_scored(bp.rounds(c, p, 2), "score").collect()} == {(0, 1), (5, 3)}
 
 
+def test_belief_propagation_with_negative_relatedness_against_a_dense_one(spark):
+    rng = random.Random(17)
+    sizes = [2, 3, 1, 2]
+    rows = [(1, 10 * m, 1, f"m{m}", 10 * m + k, rng.random()) for m, size in enumerate(sizes) for k in range(size)]
+    scored = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id bigint, pos int, n int, mention string, entity_id int, compat double, freq bigint, name_freq bigint")
+    values = {(a[4], b[4]): rng.choice([-0.9, -0.2, 5e-7, 0.3, 0.8]) for a in rows for b in rows if a[4] < b[4] and rng.random() < 0.7}
+    rel = spark.createDataFrame([(*k, v) for k, v in values.items()], "e1 int, e2 int, rel double")
+    c, p = bp.Basic().prepare(scored, rel, None, None)
+    l = len(sizes)
+    term = lambda x, y: 2 * max((v for v in [values.get((min(x, y), max(x, y)), 0.0)] if v >= 1e-6), default=0.0) / (l * (l - 1))
+    mentions = {m: [r for r in rows if r[3] == f"m{m}"] for m in range(l)}
+    sent = {}
+    for done in range(1, 4):
+        new = {}
+        for i in mentions:
+            for j in mentions:
+                if i != j:
+                    best = {y[4]: max(x[5] / l + sum(sent.get((k, i, x[4]), 0.0) for k in mentions if k not in (i, j)) + term(x[4], y[4]) for x in mentions[i]) for y in mentions[j]}
+                    new |= {(i, j, y): v - min(best.values()) for y, v in best.items()}
+        sent = new
+        want = {r[4]: r[5] / l + sum(sent[k, int(r[3][1:]), r[4]] for k in mentions if f"m{k}" != r[3]) for r in rows}
+        if done in (2, 3):
+            assert {r.entity_id: r.score for r in bp.rounds(c, p, done).collect()} == pytest.approx(want)
+            assert {r.entity_id: r.score for r in bp.converge(c, p, most=done, tolerance=0.0).collect()} == pytest.approx(want)
+
+
+def test_pairs_of_long_pages_and_popular_entities(spark, monkeypatch):
+    monkeypatch.setattr(links, "PAGE_PIECE", 3)
+    rng = random.Random(18)
+    rows = [(e, s, rng.randrange(1, 4)) for s in range(6) for e in rng.sample(range(20), 2 + 3 * s)]
+    want = {}
+    for e1, s1, f1 in rows:
+        for e2, s2, f2 in rows:
+            if s1 == s2 and e1 < e2:
+                c, w = want.get((e1, e2), (0, 0))
+                want[e1, e2] = c + 1, w + f1 * f2
+    common = links.cocitation(spark.createDataFrame(rows, "entity_id int, src int, freq bigint"))
+    assert {(r.e1, r.e2): (r.common, r.weighted) for r in common.collect()} == want
+    cands = [(d, 5 * p, 1, e) for d in range(4) for p in range(4) for e in rng.sample(range(22), 3)]
+    pairs = links.listed_pairs(spark.createDataFrame(cands, "doc_id bigint, pos int, n int, entity_id int"), common, "common")
+    expected = sorted(
+        (d, p, e, q, f, want.get((min(e, f), max(e, f)), (None,))[0])
+        for d, p, _, e in cands for g, q, _, f in cands
+        if d == g and p != q and (e == f or (min(e, f), max(e, f)) in want)
+    )
+    assert sorted((r.doc_id, r.pos1, r.entity1, r.pos2, r.entity2, r.common) for r in pairs.collect()) == expected
+    assert all(r.n <= math.sqrt(2 * len(want)) for r in links._turned(common.select("e1", "e2")).groupBy("low").agg(F.count("*").alias("n")).collect())
+
+
+def test_references_are_resolved_in_four_passes():
+    assert T.unescaped("&amp;amp;amp;lt;b &#233;&#xE9; &eacute; &apos; &copy &nosuch; &#0; &#xD800;") == "<b éé é ' &copy &nosuch; &#0; &#xD800;"
+    assert T.unescaped("&amp;amp;amp;amp;lt;") == "&lt;" and T.unescaped(None) is None and T.unescaped("a & b") == "a & b"
+
+
+def test_token_figures_equal_the_tokens(spark):
+    rng = random.Random(19)
+    rows = [(k, " ".join(rng.choice(["a", "B", "b", ".", "é", "🙂-x"]) for _ in range(rng.randrange(12)))) for k in range(60)] + [(90, None), (91, ""), (92, " ; ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by = tk.tokens(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("off").alias("sum_off"), F.sum("len").alias("sum_len"), F.count_distinct("token").alias("n_distinct"), F.max_by("token", "pos").alias("last_token"))
+    assert sorted(map(tuple, tk.token_figures(docs).collect())) == sorted(map(tuple, by.collect()))
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "doc_id bigint, mention string, entity_id int")
     solved = spark.createDataFrame([(1, "a", 1), (1, "b", 9), (1, "a", 1)], "doc_id bigint, mention string, entity_id int")
