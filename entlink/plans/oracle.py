@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import re
 
-from entlink.functions.text import ATTRIBUTE_TAGS, BARE_TAGS, DROP_CLASS, KEEP_CLASS
-from entlink.operators.bp import LINKS, PAIRS
-from entlink.operators.detect import CONTEXT, DOCS_IN_CORPUS, MAX_CANDIDATES, PERCENT  # noqa: F401
-from entlink.operators.links import ARTICLES
+# Fixed values, stated here once more so that a wrong one in the implementation is found.
+BARE_TAGS = "big small code del math noinclude nowiki ref s sub sup tt u var".split()
+ATTRIBUTE_TAGS = ["abbr", "span"]
+DROP_CLASS = r" \t\n\r\f\x{2014}/*`\"'()\[\]{},\x{2018}\x{2019}\x{201c}\x{201d};?_\x{00a0}"
+KEEP_CLASS = r".!:\-"
+PAIRS, LINKS, ARTICLES, DOCS_IN_CORPUS = 9952525348, 133832127, 4399390, 4532295
+PERCENT, CONTEXT = 0.06, 50
 
 
 def _unescape(c: str) -> str:
-    """The entities that occur in the tables: the markup signs, the no-break space and decimal references to accented letters."""
-    c = f"replace({c}, '&amp;', '&')"
-    for name, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'")):
-        c = f"replace({c}, '{name}', {sign})"
+    """Four passes over the named references that occur in the tables; within a pass the ampersand goes last, as nothing is resolved twice in it."""
+    xml = [("lt", 60), ("gt", 62), ("quot", 34), ("apos", 39), ("amp", 38)]
+    html = [("nbsp", 160), ("eacute", 233), ("uuml", 252), ("ndash", 8211), ("lt", 60), ("gt", 62), ("quot", 34), ("amp", 38)]
+    for names in (xml, html, html, xml):
+        for name, code in names:
+            c = f"replace({c}, '&{name};', chr({code}))"
     return c
 
 
@@ -128,13 +133,25 @@ _CTE |= {
     "step0": "SELECT *, prior AS p FROM node",
     "lsize": "SELECT doc_id, count(*) AS l FROM (SELECT DISTINCT doc_id, pos, n FROM scored) GROUP BY 1",
     "ann0": "SELECT link_id, any_value(docno) AS docno, any_value(anchor_text) AS a, any_value(canonical_target) AS c FROM page_links GROUP BY link_id",
-    "ann1": "SELECT DISTINCT docno, lower(trim(a, ' ')) AS mention, coalesce(id, -1) AS entity_id FROM ann0 LEFT JOIN titles ON c = title WHERE trim(a, ' ') <> ''",
-    "ann": "SELECT doc_id, mention, entity_id, CAST(instr(lower(text), mention) - 1 AS INTEGER) AS off, CAST(length(mention) AS INTEGER) AS len FROM documents d JOIN ann1 ON d.docno = ann1.docno WHERE instr(lower(text), mention) > 0",
+    "ann1": "SELECT docno, lower(trim(a, ' ')) AS mention, coalesce(id, -1) AS entity_id, min(link_id) AS place FROM ann0 LEFT JOIN titles ON c = title WHERE trim(a, ' ') <> '' GROUP BY 1, 2, 3",
+    "ann": "SELECT doc_id, mention, entity_id, CAST(instr(lower(text), mention) - 1 AS INTEGER) AS off, CAST(length(mention) AS INTEGER) AS len, place FROM documents d JOIN ann1 ON d.docno = ann1.docno WHERE instr(lower(text), mention) > 0",
     "outc": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.mention, b.mention) AS mention, coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'good' WHEN a.doc_id IS NOT NULL THEN 'fp' ELSE 'fn' END AS outcome FROM freqsol a FULL JOIN truth b ON a.doc_id = b.doc_id AND a.mention = b.mention AND a.entity_id = b.entity_id",
     "perdoc": "SELECT doc_id, count(*) FILTER (outcome = 'good') AS good, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM outc WHERE doc_id IN (SELECT doc_id FROM truth) GROUP BY doc_id",
     "prf": "SELECT *, CASE WHEN good + fp > 0 THEN good / (good + fp)::DOUBLE ELSE 1 END AS precision, CASE WHEN good + fn > 0 THEN good / (good + fn)::DOUBLE ELSE 1 END AS recall FROM perdoc",
     "found": "SELECT DISTINCT doc_id, mention, entity_id FROM cand",
+    "tokc": "SELECT doc_id, pos, off, len, length(token) AS size, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM tok",
+    "walked": "SELECT s.doc_id, s.pos, s.n, s.entity_id, round(compat * p, 9) AS score FROM scored s JOIN step3 w ON s.doc_id = w.doc_id AND s.pos = w.pos AND s.n = w.n AND s.entity_id = w.entity",
+    "basicsol": "SELECT DISTINCT doc_id, mention, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, n ORDER BY round(score, 6) DESC, entity_id) AS r FROM basic_f2) WHERE r = 1",
+    "lost": "SELECT DISTINCT a.doc_id, a.mention FROM outc a JOIN outc b ON a.doc_id = b.doc_id AND a.mention = b.mention WHERE a.outcome = 'fp' AND b.outcome = 'fn'",
+    "names": "SELECT DISTINCT doc_id, mention FROM truth",
+    "bestkp": "SELECT doc_id, s.mention, entity_id, max(kp) AS kp FROM spot s JOIN dict d ON s.mention = d.mention GROUP BY 1, 2, 3",
+    "thr": "SELECT unnest([" + ", ".join(["0.00005", "0.0001", "0.0005", *(f"0.{k:03d}" for k in range(1, 10)), *(f"{k // 100}.{k % 100:02d}" for k in range(1, 101))]) + "]::DOUBLE[]) AS threshold",
+    "hits": "SELECT threshold, b.doc_id, b.mention, t.doc_id IS NOT NULL AS ok FROM bestkp b JOIN thr ON kp >= threshold LEFT JOIN truth t ON b.doc_id = t.doc_id AND b.mention = t.mention AND b.entity_id = t.entity_id",
+    "hitdoc": "SELECT threshold, doc_id, sum(good) AS good, count(*) FILTER (good = 0) AS wrong FROM (SELECT threshold, doc_id, mention, count(*) FILTER (ok) AS good FROM hits GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "ntruth": "SELECT doc_id, count(*) AS n_truth FROM truth GROUP BY 1",
+    "swept": "SELECT g.threshold, n_truth, coalesce(good, 0) AS good, coalesce(wrong, 0) AS wrong FROM (SELECT DISTINCT threshold FROM hits) g CROSS JOIN ntruth t LEFT JOIN hitdoc h ON g.threshold = h.threshold AND t.doc_id = h.doc_id",
 }
+_CTE["outc2"] = _CTE["outc"].replace("freqsol", "basicsol")
 del _CTE["gram"]
 
 for _k in range(1, 4):
@@ -225,6 +242,18 @@ _FINAL = {
     "entity_norms": "SELECT entity_id, round(norm, 6) AS norm FROM vnorm",
     "tfidf_lookup": "SELECT term, round(w, 6) AS w FROM vec WHERE entity_id = 1",
     "tokens_offsets": "SELECT doc_id, count(*) AS n, CAST(sum(off) AS BIGINT) AS sum_off, CAST(sum(len) AS BIGINT) AS sum_len, count(DISTINCT token) AS n_distinct, max_by(token, pos) AS last_token FROM tok GROUP BY doc_id",
+    "ngrams_1_11": "SELECT CAST(k AS INTEGER) AS n, count(*) AS n_grams, CAST(sum(a.off) AS BIGINT) AS sum_off, CAST(sum(b.off + b.len - a.off) AS BIGINT) AS sum_len, CAST(sum(b.upto - a.upto + a.size + k - 1) AS BIGINT) AS sum_text FROM (SELECT *, unnest(range(1, 12)) AS k FROM tokc) a JOIN tokc b ON a.doc_id = b.doc_id AND b.pos = a.pos + k - 1 GROUP BY k",
+    "ngrams_dehyphen": "SELECT doc_id, pos, n, ngram, f.mention FROM ng LEFT JOIN ent e ON ngram = e.mention JOIN ent f ON contains(ngram, ' - ') AND replace(ngram, ' - ', ' ') = f.mention WHERE e.mention IS NULL",
+    "context_window": f"SELECT p.doc_id, p.pos, string_agg(t.token, ' ' ORDER BY t.pos) AS context FROM place p JOIN tok t ON p.doc_id = t.doc_id AND t.pos >= b AND t.pos < least(p.n_tokens, b + {CONTEXT}) GROUP BY 1, 2",
+    "walk_top_candidates": "SELECT doc_id, pos, n, entity_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, pos, n ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM walked) WHERE rank <= 10",
+    "eval_diff_runs": "SELECT l.doc_id, l.mention, outcome AS outcome2 FROM lost l LEFT JOIN (SELECT DISTINCT doc_id, mention, outcome FROM outc2) o ON l.doc_id = o.doc_id AND l.mention = o.mention",
+    "annotation_first": "SELECT doc_id, off, len, min_by(mention, place) AS mention, min_by(entity_id, place) AS entity_id FROM ann GROUP BY 1, 2, 3",
+    "annotation_names": f"SELECT DISTINCT doc_id, {_normalize('x')} AS name, entity_id FROM (SELECT a.doc_id, entity_id, substr(text, off + 1, len) AS x FROM ann a JOIN documents d ON a.doc_id = d.doc_id)",
+    "annotations_xml": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS filename, name, off, len FROM (SELECT *, trim(regexp_replace(mention, '[\\x00-\\x1f\\x7f]', ' ', 'g'), ' ') AS name FROM ann) WHERE name <> ''",
+    "annotations_offset_fix": "SELECT doc_id, pos, n, CAST(instr(text, context) - 1 + instr(context, name) - 1 AS INTEGER) AS off FROM (SELECT m.doc_id, pos, n, text, substr(text, off + 1, len) AS name, substr(text, greatest(off - 50, 0) + 1, off + len + 50 - greatest(off - 50, 0)) AS context FROM ment m JOIN documents d ON m.doc_id = d.doc_id)",
+    "sweep_detection": "SELECT threshold, round(avg(CASE WHEN good + wrong > 0 THEN good / (good + wrong)::DOUBLE ELSE 1 END), 6) AS precision, round(avg(good / n_truth::DOUBLE), 6) AS recall, CAST(sum(good) AS BIGINT) AS good FROM swept GROUP BY 1",
+    "false_positives_ranked": "SELECT s.doc_id, pos, n, s.mention, round(kp, 9) AS keyphraseness, row_number() OVER (ORDER BY round(kp, 9) DESC, s.doc_id, pos, n) AS rank FROM spot s LEFT JOIN names t ON s.doc_id = t.doc_id AND s.mention = t.mention WHERE t.mention IS NULL",
+    "truth_low_keyphraseness": "SELECT doc_id, t.mention, entity_id, round(linked / total::DOUBLE, 9) AS keyphraseness, row_number() OVER (ORDER BY round(linked / total::DOUBLE, 9), doc_id, t.mention, entity_id) AS rank FROM truth t JOIN ent ON t.mention = ent.mention",
     "dictionary_spots": "SELECT doc_id, pos, n, mention, off, len, linked, total, n_candidates, round(kp, 6) AS keyphraseness FROM spot",
     "mentions_topk": "SELECT doc_id, pos, n, mention, off, len, rank FROM ment",
     "mentions_threshold": "SELECT doc_id, pos, n, mention FROM spot WHERE kp >= 0.1::DOUBLE",

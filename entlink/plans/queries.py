@@ -5,6 +5,8 @@ Doubles are rounded to 6 places at the end, arrays are given as text, counts are
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from entlink.operators import tokens as tk
 from entlink.plans.base import Base
 from entlink.session import once, stored, table
 from entlink.sources import formats
+from entlink.streaming import linker
 
 _REGISTRY: dict = {}
 
@@ -219,6 +222,21 @@ def dictionary_spots(spark: SparkSession, d: str) -> DataFrame:
     return Base.of(spark, d).spots.select("doc_id", "pos", "n", "mention", "off", "len", "linked", "total", "n_candidates", _r("keyphraseness"))
 
 
+@query
+def ngrams_dehyphen(spark: SparkSession, d: str) -> DataFrame:
+    """The n-grams that are an entry only without their hyphens."""
+    b = Base.of(spark, d)
+    found = tk.dictionary_ngrams(b.docs, b.dictionary.select("mention"))
+    return found.where("ngram <> mention").select("doc_id", "pos", "n", "ngram", "mention")
+
+
+@query
+def context_window(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens around each linked mention, in their order."""
+    b = Base.of(spark, d)
+    return detect.context_texts(b.docs, b.mentions)
+
+
 @query
 def mentions_topk(spark: SparkSession, d: str) -> DataFrame:
     """The mentions of highest keyphraseness, 6 % of a text's tokens."""
@@ -386,6 +404,13 @@ def walk_top_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("doc_id", "pos", "n", "entity_id", "rank")
 
 
+@query
+def link_walk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Each mention of keyphraseness at least 0.8 with the entity that the converged walk chooses."""
+    b = Base.of(spark, d)
+    return linker.link_texts(b.docs, linker.Knowledge.of(b), 0.8, "walk")
+
+
 # --- belief propagation ---------------------------------------------------------------------------------------------
 
 
@@ -432,12 +457,13 @@ def link_bp(spark: SparkSession, d: str) -> DataFrame:
 
 def _annotations(b: Base) -> DataFrame:
     """Links of the documents' pages with their place in the text and their entity, -1 if unresolved."""
+    # ``place`` is the order of annotations: a link that was made earlier stands earlier
     rows = once(b.read("page_links").select("link_id", "docno", "anchor_text", "canonical_target"), "link_id")
     titles = b.read("titles").select("title", F.col("id").alias("entity_id"))
-    named = rows.join(titles, F.col("canonical_target") == F.col("title"), "left").select("docno", F.lower(F.trim("anchor_text")).alias("mention"), F.coalesce("entity_id", F.lit(-1)).alias("entity_id"))
-    named = named.where("mention <> ''").distinct()
+    named = rows.join(titles, F.col("canonical_target") == F.col("title"), "left").select("docno", F.lower(F.trim("anchor_text")).alias("mention"), F.coalesce("entity_id", F.lit(-1)).alias("entity_id"), "link_id")
+    named = named.where("mention <> ''").groupBy("docno", "mention", "entity_id").agg(F.min("link_id").alias("place"))
     placed = b.docs.select("doc_id", "docno", F.lower("text").alias("text")).join(named, "docno")
-    return placed.select("doc_id", "mention", "entity_id", (F.expr("locate(mention, text)") - 1).alias("off"), F.length("mention").alias("len")).where("off >= 0")
+    return placed.select("doc_id", "mention", "entity_id", (F.expr("locate(mention, text)") - 1).alias("off"), F.length("mention").alias("len"), "place").where("off >= 0")
 
 
 @query
@@ -508,8 +534,54 @@ def annotation_dupes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def annotation_first(spark: SparkSession, d: str) -> DataFrame:
-    """One annotation for each place, the one of the smallest entity."""
-    return evaluate.first_of_spot(_annotations(Base.of(spark, d)), "entity_id").select("doc_id", "off", "len", "mention", "entity_id")
+    """One annotation for each place, the first one."""
+    return evaluate.first_of_spot(_annotations(Base.of(spark, d)), "place").select("doc_id", "off", "len", "mention", "entity_id")
+
+
+@query
+def annotation_names(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations as names: the text at their place, without the place."""
+    b = Base.of(spark, d)
+    rows = _annotations(b).join(b.docs.select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", T.normalize(F.substr("text", F.col("off") + 1, F.col("len"))).alias("name"), "entity_id").distinct()
+
+
+@query
+def annotations_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations written as XML elements and parsed."""
+    rows = _annotations(Base.of(spark, d)).select(F.col("doc_id").cast("string").alias("filename"), F.trim(F.regexp_replace("mention", "[\\x00-\\x1f\\x7f]", " ")).alias("name"), "off", "len")
+    return formats.parse_annotations(formats.format_annotations(rows.where("name <> ''").distinct()))
+
+
+@query
+def annotations_offset_fix(spark: SparkSession, d: str) -> DataFrame:
+    """The offsets of the linked mentions found again by their context, the first place where it stands."""
+    b = Base.of(spark, d)
+    texts = b.docs.select(F.col("doc_id").cast("string").alias("filename"), "text")
+    rows = b.mentions.select(F.col("doc_id").cast("string").alias("filename"), "pos", "n", "off", "len").join(texts, "filename")
+    notes = rows.select(F.col("filename").alias("doc"), "pos", "n", F.substr("text", F.col("off") + 1, F.col("len")).alias("name"), T.window_around(F.col("text"), F.col("off"), F.col("len")).alias("context"))
+    return formats.repair_offsets(notes, texts).select(F.col("doc").cast("bigint").alias("doc_id"), "pos", "n", "off")
+
+
+@query
+def eval_linkers(spark: SparkSession, d: str) -> DataFrame:
+    """Macro and micro figures of the frequent entities, the converged walk and converged belief propagation against the truth."""
+    b = Base.of(spark, d)
+    runs = {"frequent": b.frequent_solution, "walk": _walk_solution(b), "bp": detect.best_scored(bp.converge(*_bp(b, bp.Full())), "score")}
+    every = [evaluate.summary(evaluate.per_document(r, b.truth)).withColumn("method", F.lit(m)) for m, r in runs.items()]
+    out = functools.reduce(DataFrame.unionByName, every)
+    return out.select("method", *[_r(c) for c in ("macro_p", "macro_r", "micro_p", "micro_r", "mean_pr", "f1")], "good", "fp", "fn")
+
+
+@query
+def link_truth_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The true mentions whose entity is a candidate, solved by converged belief propagation, and whether that is right."""
+    b = Base.of(spark, d)
+    covered = b.truth.join(b.dictionary.select("mention", "entity_id"), ["mention", "entity_id"], "left_semi")
+    mentions = detect.importance(b.spots.join(covered.select("doc_id", "mention"), ["doc_id", "mention"], "left_semi"))
+    solved = linker.solve(b.docs, b.kept(mentions), linker.Knowledge.of(b), "bp")
+    mark = covered.select(*evaluate.KEY).distinct().withColumn("right", F.lit(True))
+    return solved.join(mark, evaluate.KEY, "left").select("doc_id", "pos", "n", "mention", "entity_id", F.coalesce("right", F.lit(False)).alias("right"))
 
 
 @query

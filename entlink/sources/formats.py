@@ -95,10 +95,24 @@ def parse_scored_mentions(lines: DataFrame, begin: str, end: str) -> DataFrame:
     return marked.select(F.substring_index("value", "\t", 1).alias("mention"), (score * 100000).cast("int").alias("linked"), F.lit(100000).alias("total"))
 
 
+_ANNOTATION = "docName string, wikiName string, offset int, length int"
+
+
+def format_annotations(rows: DataFrame) -> DataFrame:
+    """(value): an XML element for each annotation of ``rows``(filename, name, off, len)."""
+    one = F.struct(F.col("filename").alias("docName"), F.col("name").alias("wikiName"), F.col("off").alias("offset"), F.col("len").alias("length"))
+    return rows.select(F.to_xml(one, {"rowTag": "annotation"}).alias("value"))
+
+
+def parse_annotations(lines: DataFrame) -> DataFrame:
+    """(filename, name, off, len) of such elements."""
+    a = lines.select(F.from_xml("value", _ANNOTATION).alias("a"))
+    return a.select(F.trim("a.docName").alias("filename"), F.trim("a.wikiName").alias("name"), F.col("a.offset").alias("off"), F.col("a.length").alias("len"))
+
+
 def read_annotations(spark: SparkSession, path: str, row_tag: str = "annotation") -> DataFrame:
     """(filename, name, off, len) of an XML file with docName, wikiName, offset and length in each annotation."""
-    schema = "docName string, wikiName string, offset int, length int"
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(_ANNOTATION).load(path)
     return rows.select(F.trim("docName").alias("filename"), F.trim("wikiName").alias("name"), F.col("offset").alias("off"), F.col("length").alias("len"))
 
 
