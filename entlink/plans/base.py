@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entlink.operators import detect, kb, links, walk
-from entlink.session import stored, table
+from entlink.session import release, stored, table
 
 _known: dict[tuple[str, str], Base] = {}
 
@@ -30,6 +30,13 @@ class Base:
             _known[key] = cls(spark, d)
         return _known[key]
 
+    @staticmethod
+    def forget(spark: SparkSession) -> None:
+        """Drops all shared frames of the session and their files; do so when tables have changed."""
+        for key in [k for k in _known if k[0] == spark.sparkContext.applicationId]:
+            del _known[key]
+        release(spark)
+
     def kept(self, df: DataFrame) -> DataFrame:
         return stored(df)
 

@@ -85,11 +85,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: dict[str, list] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: no lineage, known size, columns and filters pushed down."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """``df`` written to the shared folder as Parquet and read back: no lineage, known size, columns and filters pushed down.
+
+    The file goes with the driver's JVM, or before with :func:`release`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _stored.setdefault(sc.applicationId, []).append(at)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every stored frame of the session; frames that read them cannot be used after it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for at in _stored.pop(spark.sparkContext.applicationId, []):
+        at.getFileSystem(conf).delete(at, True)
 
 
 def renewed(df: DataFrame) -> DataFrame:
