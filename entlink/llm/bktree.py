@@ -61,41 +61,35 @@ class BKForest:
         short = np.flatnonzero((self.length <= WIDEST) & (self.length > 0))
         self.peq = np.zeros((len(entries), self.alphabet), np.uint64)
         self.mask = np.zeros(len(entries), np.uint64)
-        for k in short:
-            for place, c in enumerate(entries[k]):
-                self.peq[k, self.sign[c]] |= np.uint64(1 << place)
-            self.mask[k] = self._mask(self._code(entries[k]))
         self.root: dict[int, int] = {}
-        parent, edge, child = [], [], []
-        for size in np.unique(self.length[short]):
+        edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(self.length[short]).tolist():
             rows = short[self.length[short] == size]
-            self.root[int(size)] = int(rows[0])
-            stack = [rows]
-            while stack:
-                rows = stack.pop()
-                node, rest = rows[0], rows[1:]
-                if not len(rest):
-                    continue
-                codes = np.broadcast_to(self._code(entries[node]), (len(rest), int(size)))
-                d = self._distance(codes, rest)
-                for at in np.unique(d):
-                    group = rest[d == at]
-                    parent.append(node)
-                    edge.append(at)
-                    child.append(group[0])
-                    stack.append(group)
-        key = np.array(parent, np.int64) * 256 + np.array(edge, np.int64)
+            codes = np.array([self._code(entries[k]) for k in rows]).reshape(len(rows), size)
+            for place in range(size):
+                self.peq[rows, codes[:, place]] |= np.uint64(1 << place)
+            self.mask[rows] = np.bitwise_or.reduce(np.uint64(1) << (codes % 64).astype(np.uint64), axis=1)
+            self.root[size] = int(rows[0])
+            # all nodes of a depth at once: the first entry at a distance from its node is the child, the others go on below it
+            at, node = np.arange(1, len(rows)), np.zeros(len(rows) - 1, np.int64)
+            while len(at):
+                d = np.concatenate([self._distance(codes[node[k : k + BLOCK]], rows[at[k : k + BLOCK]]) for k in range(0, len(at), BLOCK)])
+                order = np.lexsort((at, d, node))
+                at, node, d = at[order], node[order], d[order]
+                new = np.concatenate(([True], (node[1:] != node[:-1]) | (d[1:] != d[:-1])))
+                edges.append((rows[node[new]], d[new], rows[at[new]]))
+                child = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                at, node = at[~new], child[~new]
+        parent, edge, child = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, np.int64) for k in range(3))
+        key = parent * 256 + edge
         order = np.argsort(key, kind="stable")
-        self.key, self.child = key[order], np.array(child, np.int64)[order]
+        self.key, self.child = key[order], child[order]
         self.leaf = np.ones(len(entries), bool)
-        self.leaf[np.array(parent, np.int64)] = False
+        self.leaf[parent] = False
 
     def _code(self, s: str) -> np.ndarray:
         return np.array([self.sign.get(c, 0) for c in s], np.int64)
 
-    def _mask(self, code: np.ndarray) -> np.uint64:
-        return np.bitwise_or.reduce(np.uint64(1) << (code % 64).astype(np.uint64)) if len(code) else np.uint64(0)
-
     def _distance(self, codes: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """Distance of each row of signs to its entry."""
         one = np.uint64(1)
