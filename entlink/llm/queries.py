@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entlink.llm import canonical, cooccur, frequent, packing, readability, termfreq, tokenizer, topn
-from entlink.session import mention_key, once, stored, table
+from entlink.session import mention_key, once, spread, stored, table
 
 
 def _unresolved(spark: SparkSession, d: str) -> DataFrame:
@@ -106,20 +106,24 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return _mention_counts(spark, d).select("mention", "linked", "total", "n_records", "is_rare", "is_common")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
-    return tokenizer.token_ids(table(spark, d, "documents"))
+    return tokenizer.token_ids(_documents(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """All documents in containers of 4,096 tokens."""
-    docs = table(spark, d, "documents")
-    return packing.pack(tokenizer.token_counts(docs), "doc_id", "n_tokens", 4096, docs.count())
+    docs = _documents(spark, d)
+    return packing.pack(tokenizer.token_counts(docs), "doc_id", "n_tokens", 4096, table(spark, d, "documents").count())
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The English documents of level 4 or 5."""
-    english = table(spark, d, "documents").where("lang = 'en' and text is not null")
+    english = _documents(spark, d).where("lang = 'en' and text is not null")
     levels = readability.fit(table(spark, d, "graded_texts"))
     return readability.reading_levels(english, levels).where("reading_level >= 4").select("doc_id")
 
