@@ -214,6 +214,80 @@ def test_formats(spark, tmp_path):
     assert tuple(formats.read_tsv(spark, str(tmp_path / "tsv"), formats.TITLES).head()) == ("a b", 1)
 
 
+def test_ragged_lines(spark, tmp_path):
+    lines = spark.createDataFrame([("m\t3\t7\t2\t9",), ("x\t1\t1",)], "value string")
+    assert [tuple(r) for r in formats.parse_mentions(lines).orderBy("mention").collect()] == [("m", 3, 7, [2, 9]), ("x", 1, 1, [])]
+    links_ = spark.createDataFrame([("5\t1\t2\t3",), ("6",)], "value string")
+    assert [tuple(r) for r in formats.parse_inlinks(links_).orderBy("entity_id").collect()] == [(5, [1, 2, 3]), (6, [])]
+    rows = spark.createDataFrame([(k, k % 2) for k in range(10)], "a int, b int")
+    formats.write_outputs(rows, {"even": (F.col("b") == 0, str(tmp_path / "even")), "odd": (F.col("b") == 1, str(tmp_path / "odd"))})
+    assert spark.read.parquet(str(tmp_path / "even")).count() == 5 and {r.a for r in spark.read.parquet(str(tmp_path / "odd")).collect()} == {1, 3, 5, 7, 9}
+
+
+def test_sequence_files(spark, tmp_path):
+    path = str(tmp_path / "seq")
+    formats.write_sequence_file(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path)
+    assert sorted(tuple(r) for r in formats.read_sequence_file(spark, path, "k int, v string").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_xml_elements_round_trip(spark):
+    rows = spark.createDataFrame([("f", "a & <b>", 3, 7), ("g", "é", 0, 1)], "filename string, name string, off int, len int")
+    assert sorted(map(tuple, formats.parse_annotations(formats.format_annotations(rows)).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_stored_knowledge_base(spark, tmp_path):
+    from entlink.plans.base import Base
+
+    b = Base.of(spark, "/root/testdata/sf0.001")
+    formats.store_kb(b, str(tmp_path))
+    loaded = formats.load_kb(spark, str(tmp_path))
+    assert loaded["dictionary"].count() == b.dictionary.count() and loaded["inlinks"].count() == b.inlinks.count() and loaded["titles"].count() == 4000
+
+
+def test_occurrences_and_best_setting(spark):
+    df = spark.createDataFrame([("ab", "ab ab x ab"), ("zz", "ab"), ("aa", "aaaa")], "part string, text string")
+    got = [tuple(r) for r in df.select(T.count_occurrences(F.col("part"), F.col("text")), T.count_occurrences(F.col("part"), F.col("text"), True)).collect()]
+    assert got == [(1, 3), (0, 0), (1, 2)]
+    results = spark.createDataFrame([(0.5, 0.7), (0.6, 0.9), (0.4, 0.9)], "beta double, score double")
+    assert tuple(evaluate.best_setting(results, "beta", "score").head()) == (0.4, 0.9)
+
+
+@pytest.mark.parametrize(("pos", "want"), [(3, "lived in los"), (2, "lived in los"), (1, "michael lived in"), (0, "michael lived in")])
+def test_context_texts_golden(spark, pos, want):
+    docs = spark.createDataFrame([(1, "michael lived in los")], "doc_id bigint, text string")
+    mentions = spark.createDataFrame([(1, pos, 4)], "doc_id bigint, pos int, n_tokens int")
+    assert [r.context for r in detect.context_texts(docs, mentions, 3).collect()] == [want]
+
+
+def test_dictionary_of_many_names_passes_the_sieve(spark):
+    names = spark.range(50_000).select(F.concat(F.lit("name "), F.col("id")).alias("mention"), F.col("id").alias("number"))
+    docs = spark.createDataFrame([(1, "some name 7 and name 49999 or name 50000 and the name - 12"), (2, None)], "doc_id bigint, text string")
+    sieve = tk.sieve_of(names, 50_000, 11)
+    assert len(sieve.data) * 8 == 2**20 and sieve.longest == 2
+    got = {(r.pos, r.n, r.mention, r.number) for r in tk.dictionary_ngrams(docs, names).collect()}
+    assert got == {(1, 2, "name 7", 7), (4, 2, "name 49999", 49999), (11, 3, "name 12", 12)}
+    plan = tk.dictionary_ngrams(docs, names)._jdf.queryExecution().toString()
+    assert "LeftOuter" not in plan.split("Optimized Logical Plan")[1].split("Physical Plan")[0].replace("Join LeftOuter, (form", "", 1)
+
+
+def test_one_text_is_linked_by_every_method(spark):
+    from entlink.plans.base import Base
+    from entlink.streaming import linker
+
+    b = Base.of(spark, "/root/testdata/sf0.001")
+    known = linker.Knowledge.of(b)
+    key = b.spots.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("n", "doc_id").head().doc_id
+    one_text = b.docs.where(F.col("doc_id") == key)
+    spots = {(r.pos, r.n) for r in b.spots.where(F.col("doc_id") == key).collect()}
+    for method in ("frequent", "walk", "bp"):
+        rows = linker.link_texts(one_text, known, 0.0, method).collect()
+        assert {(r.pos, r.n) for r in rows} == spots, method
+        assert {r.doc_id for r in rows} == {key}
+    assert linker.link_texts(one_text, known, 2.0, "walk").count() == 0
+    with pytest.raises(ValueError):
+        linker.link_texts(one_text, known, 0.0, "guess")
+
+
 def test_ranks_of_skewed_keys(spark):
     rng = random.Random(3)
     rows = [(1 if rng.random() < 0.6 else rng.randrange(2, 30), rng.choice([rng.randrange(-50, 50), rng.randrange(-(2**61), 2**61)])) for _ in range(3000)] + [(None, 1), (3, None)]
