@@ -259,6 +259,27 @@ def test_context_texts_golden(spark, pos, want):
     assert [r.context for r in detect.context_texts(docs, mentions, 3).collect()] == [want]
 
 
+def test_context_frames_are_made_where_the_texts_are(spark):
+    """Frames of tokens do not go to the driver to be broadcast, nor tokens through a join: only the mentions meet the texts."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["a", "b", "Él", ".", "x-y"]) for _ in range(rng.randrange(1, 9)))) for k in range(40)]
+    docs = spark.createDataFrame(rows + [(90, ""), (91, None)], "doc_id bigint, text string")
+    words = {}
+    for r in sorted(tk.tokens(docs).collect(), key=lambda r: r.pos):
+        words.setdefault(r.doc_id, []).append(r.token)
+    places = [(k, p, len(t)) for k, t in words.items() for p in range(len(t)) if rng.random() < 0.6]
+    mentions = spark.createDataFrame(places + places[:3], "doc_id bigint, pos int, n_tokens int")
+    want = {}
+    for k, p, n in places:
+        begin = 0 if p < 2 else max(0, n - 4) if p + 2 >= n else p - 2
+        want[k, p] = words[k][begin : begin + 4]
+    texts, terms = detect.context_texts(docs, mentions, 4), detect.contexts(docs, mentions, 4)
+    assert sorted((r.doc_id, r.pos, r.context) for r in texts.collect()) == sorted((*key, " ".join(t)) for key, t in want.items())
+    assert sorted(map(tuple, terms.collect())) == sorted((*key, t, w.count(t)) for key, w in want.items() for t in set(w))
+    for frame in (texts, terms):
+        assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dictionary_of_many_names_passes_the_sieve(spark):
     names = spark.range(50_000).select(F.concat(F.lit("name "), F.col("id")).alias("mention"), F.col("id").alias("number"))
     docs = spark.createDataFrame([(1, "some name 7 and name 49999 or name 50000 and the name - 12"), (2, None)], "doc_id bigint, text string")
