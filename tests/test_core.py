@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from entlink.functions import text as T
 from entlink.operators import bp, detect, evaluate, kb, links, skew, walk
 from entlink.operators import tokens as tk
+from entlink.plans.base import Base
+from entlink.plans.queries import queries
 from entlink.session import mention_key, once
 from entlink.sources import formats
 
@@ -452,3 +454,27 @@ def test_missed_lists_are_whole_and_ranked(spark):
     low = sorted((kp[m], k, m, e) for k, m, e in truth if m in kp)
     got = sorted(run["truth_low_keyphraseness"](spark, d).collect(), key=lambda r: r["rank"])
     assert [(r.keyphraseness, r.doc_id, r.mention, r.entity_id) for r in got] == low and [r["rank"] for r in got] == list(range(1, len(low) + 1))
+
+
+class _NoCompatibility(Base):
+    """A base without compatibility: what does not use it must not make it."""
+
+    @property
+    def scored(self):
+        raise AssertionError("compatibility is not used here")
+
+
+@pytest.mark.parametrize("name", ["eval_prf_per_doc", "eval_outcomes", "eval_macro_micro"])
+def test_no_compatibility_for_frequent_entities(spark, monkeypatch, name):
+    b = _NoCompatibility(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(Base, "of", classmethod(lambda cls, *_: b))
+    assert queries()[name](spark, b.d).count()
+
+
+def test_no_compatibility_for_scorers_of_counts(spark):
+    from entlink.plans.queries import _bp
+
+    b = _NoCompatibility(spark, "/root/testdata/sf0.001")
+    for scorer in (bp.Full(), bp.MaxEnt()):
+        rows, pairs = _bp(b, scorer)
+        assert {"local", "absent"} <= set(rows.columns) and "compat" not in rows.columns and "pair" in pairs.columns
