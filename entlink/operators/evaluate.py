@@ -80,6 +80,30 @@ def detection(cands: DataFrame, truth: DataFrame, extra: list[str] | None = None
     return rows.withColumn("precision", _share(F.col("good"), F.col("good") + F.col("wrong"))).withColumn("recall", _share(F.col("good"), F.col("n_truth")))
 
 
+def detection_sweep(found: DataFrame, dictionary: DataFrame, truth: DataFrame, score: str, settings: list[float]) -> DataFrame:
+    """(threshold, precision, recall, good): the means of :func:`detection` over the texts with a truth, and its sum of good ones, for each threshold that anything reaches.
+
+    ``found``(doc_id, mention, score) has each name of a text once, an entry of ``dictionary``(mention, entity_id, ...). A name counts at every threshold up to
+    its score, so a text's names are counted once by the number of thresholds that they reach, and summed up from there; neither names nor candidates
+    are repeated for each threshold.
+    """
+    grid = sorted({float(t) for t in settings})
+    steps = F.array(*map(F.lit, grid))
+    level = F.size(F.filter(steps, lambda t: F.col(score) >= t))
+    names = found.select("doc_id", "mention", level.alias("level")).where("level > 0")
+    hit = truth.join(dictionary.select("mention", "entity_id"), ["mention", "entity_id"], "left_semi").groupBy("doc_id", "mention").agg(F.count("*").alias("good"))
+    counted = names.join(hit, ["doc_id", "mention"], "left").groupBy("doc_id", "level").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count_if(F.col("good").isNull()).alias("wrong"))
+    levels = counted.groupBy("doc_id").agg(F.collect_list(F.struct("level", "good", "wrong")).alias("levels"))
+    rows = truth.groupBy("doc_id").agg(F.count("*").alias("n_truth")).join(levels, "doc_id", "left")
+    rows = rows.select("n_truth", F.coalesce("levels", F.array().cast(levels.schema["levels"].dataType)).alias("levels"), F.posexplode(steps).alias("at", "threshold"))
+    above = lambda c: F.aggregate(F.filter("levels", lambda x: x["level"] > F.col("at")), F.lit(0).cast("bigint"), lambda s, x: s + x[c])
+    rows = rows.select("threshold", "n_truth", above("good").alias("good"), above("wrong").alias("wrong"))
+    rows = rows.withColumn("precision", _share(F.col("good"), F.col("good") + F.col("wrong"))).withColumn("recall", _share(F.col("good"), F.col("n_truth")))
+    means = rows.groupBy("threshold").agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.sum("good").alias("good"))
+    top = found.agg(F.max(score).alias("top"))
+    return means.crossJoin(top).where("threshold <= top").drop("top")  # one row
+
+
 def status(annotations: DataFrame, spots: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``annotations``(doc_id, mention, entity_id, off, len) with ``status``.
 

@@ -471,10 +471,15 @@ def test_no_compatibility_for_frequent_entities(spark, monkeypatch, name):
     assert queries()[name](spark, b.d).count()
 
 
-def test_no_compatibility_for_scorers_of_counts(spark):
-    from entlink.plans.queries import _bp
-
-    b = _NoCompatibility(spark, "/root/testdata/sf0.001")
-    for scorer in (bp.Full(), bp.MaxEnt()):
-        rows, pairs = _bp(b, scorer)
-        assert {"local", "absent"} <= set(rows.columns) and "compat" not in rows.columns and "pair" in pairs.columns
+def test_detection_sweep_equals_detection_at_each_threshold(spark):
+    """Nothing is repeated for each threshold before it is counted; texts without a truth or without a find count as before."""
+    rng = random.Random(11)
+    keyphraseness = {m: rng.choice([0.004, 0.1, 0.35, 0.5, 0.9]) for m in "abcdefgh"}
+    dictionary = spark.createDataFrame(sorted({(m, rng.randrange(4)) for m in keyphraseness for _ in range(3)}), "mention string, entity_id int")
+    found = spark.createDataFrame([(k, m, s) for k in range(12) for m, s in keyphraseness.items() if rng.random() < 0.4], "doc_id bigint, mention string, keyphraseness double")
+    truth = spark.createDataFrame(sorted({(k, rng.choice("abcdefghz"), rng.randrange(4)) for k in range(2, 15) for _ in range(6)}), "doc_id bigint, mention string, entity_id int")
+    grid = [0.001, 0.1, 0.3, 0.5, 0.6, 0.95]
+    rows = evaluate.detection(evaluate.sweep(found.join(dictionary, "mention"), "keyphraseness", grid), truth, ["threshold"])
+    want = rows.groupBy("threshold").agg(F.round(F.avg("precision"), 6), F.round(F.avg("recall"), 6), F.sum("good"))
+    got = evaluate.detection_sweep(found, dictionary, truth, "keyphraseness", grid)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
