@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from entlink.operators import bp, detect, links, walk
@@ -46,8 +45,7 @@ def solve(docs: DataFrame, mentions: DataFrame, known: Knowledge, method: str) -
         return detect.most_frequent(cands)
     if method not in ("walk", "bp"):
         raise ValueError(f"no such method: {method}")
-    weights = detect.context_weights(detect.contexts(docs, mentions), known.df)
-    scored = stored(detect.compatibility(cands, stored(weights), known.vectors).withColumn("compat", F.round("compat", 9)))
+    scored = stored(detect.text_compatibility(docs, mentions, cands, known.df, known.vectors))
     if method == "bp":
         return detect.best_scored(bp.converge(*bp.Full().prepare(scored, known.rel, known.common, known.popular)), "score")
     graph = stored(walk.edges(scored, links.related_pairs(scored, known.rel)))

@@ -492,3 +492,39 @@ def test_detection_sweep_equals_detection_at_each_threshold(spark):
     want = rows.groupBy("threshold").agg(F.round(F.avg("precision"), 6), F.round(F.avg("recall"), 6), F.sum("good"))
     got = evaluate.detection_sweep(found, dictionary, truth, "keyphraseness", grid)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
+
+
+def _small_corpus(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 40, 300])))) for k in range(25)] + [(25, ""), (26, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = [(k, (t or "").count(" ") + 1, p, 1) for k, t in texts if t for p in range(0, t.count(" ") + 1, 3)]
+    mentions = spark.createDataFrame(rows, "doc_id bigint, n_tokens int, pos int, n int").withColumn("mention", F.lit("m"))
+    cands = mentions.select("doc_id", "pos", "n", "mention").join(spark.createDataFrame([(e,) for e in range(6)], "entity_id int")).withColumn("freq", F.lit(1)).withColumn("name_freq", F.lit(1))
+    df = spark.createDataFrame([(w, 10 + 7 * k) for k, w in enumerate(words[:25])], "term string, df bigint")
+    vectors = [(e, w, rng.random() * 3) for e in range(5) for w in rng.sample(words + ["elsewhere"], 12)] + [(5, "w0", 0.0), (9, "w1", 1.0)]
+    return docs, mentions, cands, df, spark.createDataFrame(vectors, "entity_id int, term string, w double")
+
+
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_compatibility_of_texts_equals_the_join_of_terms(spark, monkeypatch, block):
+    from entlink.operators import compat
+
+    docs, mentions, cands, df, vectors = _small_corpus(spark)
+    plain = detect.compatibility(cands, detect.context_weights(detect.contexts(docs, mentions), df), vectors)
+    want = {(r.doc_id, r.pos, r.entity_id): r.compat for r in plain.collect()}
+    monkeypatch.setattr(compat.cosines, "__defaults__", (block,))
+    got = {(r.doc_id, r.pos, r.entity_id): r.compat for r in detect.text_compatibility(docs, mentions, cands, df, vectors).collect()}
+    assert got.keys() == want.keys() and sum(v > 0 for v in got.values()) > len(got) / 2
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-8) for k in want)
+
+
+def test_terms_of_contexts_are_no_rows(spark, monkeypatch):
+    """Compatibility must not make a row of every term of a context, as it did."""
+
+    def made(*_, **__):
+        raise AssertionError("terms of contexts are not made here")
+
+    monkeypatch.setattr(tk, "frame_terms", made)
+    assert "compat" in Base(spark, "/root/testdata/sf0.001").scored.columns
