@@ -528,3 +528,32 @@ def test_terms_of_contexts_are_no_rows(spark, monkeypatch):
 
     monkeypatch.setattr(tk, "frame_terms", made)
     assert "compat" in Base(spark, "/root/testdata/sf0.001").scored.columns
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_graphs_and_messages_of_texts_equal_the_joins(spark, monkeypatch, most):
+    from entlink.operators import texts
+
+    monkeypatch.setattr(texts, "LISTED", most)
+    rng = random.Random(4)
+    rows = [(doc, pos, 1, f"m{pos}", e, rng.choice([0.0, 0.2, 0.7])) for doc in range(4) for pos in range(1 + doc * 2) for e in rng.sample(range(9), rng.randrange(1, 5))]
+    scored = spark.createDataFrame(rows, "doc_id bigint, pos int, n int, mention string, entity_id int, compat double").withColumn("freq", F.col("entity_id") + 1).withColumn("name_freq", F.lit(20)).cache()
+    mentions = scored.select("doc_id", "pos", "n").distinct().withColumn("importance", 1 / (F.col("doc_id") * 2 + 1))
+    rel = spark.createDataFrame([(a, b, rng.choice([-0.5, 1e-7, 0.3, 0.8]), rng.randrange(1, 9)) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.5], "e1 int, e2 int, rel double, common int").cache()
+    popular = spark.createDataFrame([(e, 3 + e) for e in range(8)], "entity_id int, popularity int")
+
+    def near(got, want, key, *values):
+        a, b = ({tuple(r[k] for k in key): [r[v] for v in values] for r in x.collect()} for x in (got, want))
+        assert a.keys() == b.keys() and all(math.isclose(x, y, abs_tol=1e-9) for k in a for x, y in zip(a[k], b[k]))
+
+    edge, node = ["doc_id", "pos1", "n1", "entity1", "pos2", "n2", "entity2"], ["doc_id", "pos", "n", "entity"]
+    graph, nodes = walk.edges(scored, links.related_pairs(scored, rel.select("e1", "e2", "rel"))), walk.vertices(mentions, scored)
+    made = mentions, scored, rel
+    near(walk.text_edges(*made), graph, edge, "w")
+    near(walk.text_steps(*made, 3), walk.steps(graph, nodes, 3), node, "p")
+    near(walk.text_components(*made), walk.components(graph, nodes), ["doc_id"], "n_components")
+    sums = graph.groupBy(*edge[:4]).agg(F.count("*").alias("edges"), F.sum("entity2").alias("targets"), F.sum("w").alias("sum"))
+    near(walk.text_sums(*made), sums, edge[:4], "edges", "targets", "sum")
+    prepared = bp.Basic().prepare(scored, rel, None, None)
+    near(bp.basic_rounds(scored, rel, [2]).withColumnRenamed("score0", "score"), bp.rounds(*prepared, 2), ["doc_id", "pos", "n", "entity_id"], "score")
+    near(bp.full_converged(scored, rel, popular, bp.Full()), bp.converge(*bp.Full().prepare(scored, None, rel, popular)), ["doc_id", "pos", "n", "entity_id"], "score")
