@@ -557,3 +557,54 @@ def test_graphs_and_messages_of_texts_equal_the_joins(spark, monkeypatch, most):
     prepared = bp.Basic().prepare(scored, rel, None, None)
     near(bp.basic_rounds(scored, rel, [2]).withColumnRenamed("score0", "score"), bp.rounds(*prepared, 2), ["doc_id", "pos", "n", "entity_id"], "score")
     near(bp.full_converged(scored, rel, popular, bp.Full()), bp.converge(*bp.Full().prepare(scored, None, rel, popular)), ["doc_id", "pos", "n", "entity_id"], "score")
+
+
+def test_the_sets_of_mentions_of_a_text_are_solved_together(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from entlink.operators import thresholds
+    from entlink.plans import queries
+
+    plan = queries.sweep_threshold(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan  # pairs of candidates are no rows
+
+    rng = np.random.default_rng(3)
+    for mentions in (1, 2, 9, 30):
+        mention = np.sort(np.concatenate((np.arange(mentions), rng.integers(0, mentions, 2 * mentions))))
+        n = len(mention)
+        total, compat = rng.integers(5, 500, mentions)[mention], np.where(rng.random(n) < 0.3, 0, rng.random(n))
+        compat[mention == 0] = 0
+        a, b = np.nonzero((rng.random((n, n)) < 0.3) & (mention[:, None] != mention[None, :]))
+        rel = rng.choice([-0.2, 0.0, 5e-7, 5e-6, 0.3, 0.8, 1.0], len(a))
+        reached = np.r_[5, rng.integers(1, 6, mentions)[1:]][mention]
+        kept = reached[None, :] >= np.unique(reached)[:, None]
+        ranks, scores = thresholds.walked(kept, mention, total, compat, a, b, rel), thresholds.propagated(kept, mention, compat, a, b, rel)
+        for k, own in enumerate(map(np.flatnonzero, kept)):
+            at = np.full(n, -1)
+            at[own] = np.arange(len(own))
+            m = np.unique(mention[own], return_inverse=True)[1]
+            both = (at[a] >= 0) & (at[b] >= 0)
+            x, y, r = at[a[both]], at[b[both]], rel[both]
+            weight = np.log(detect.DOCS_IN_CORPUS / total[own][np.searchsorted(m, np.arange(m[-1] + 1))])
+            every, size = np.bincount(m, compat[own])[m], np.bincount(m)[m]
+            down = np.where(every > 0, compat[own] / np.where(every > 0, every, 1), 1 / size)
+            s = r > walk.EPSILON
+            across = r[s] / np.bincount(x[s], r[s], len(own))[x[s]]
+            edges = np.r_[m + len(own), x[s]], np.r_[np.arange(len(own)), y[s]], np.r_[down, across]
+            want = walk.ranks(np.r_[np.zeros(len(own)), weight / weight.sum()], *edges, tolerance=1e-10, most=200)[: len(own)]
+            np.testing.assert_allclose(ranks[k, own], compat[own] * want, atol=1e-12)
+            s, l = r >= bp.LEAST_RELATED, m[-1] + 1
+            want = bp.solved(m, compat[own] / l, x[s], y[s], 2 * r[s] / (l * max(l - 1, 1)), 0.0)[0]
+            np.testing.assert_allclose(scores[k, own], want, atol=1e-12)
+
+    monkeypatch.setattr(thresholds.texts, "solved", lambda *x: x[3])
+    rows = spark.createDataFrame([], "doc_id bigint, pos int, n int, mention string, entity_id int, freq bigint, keyphraseness double, total bigint, compat double")
+    solve = thresholds.solutions(rows, rows, [k / 10 for k in range(1, 6)])
+    at = {"keyphraseness": reached / 10, "entity_id": rng.integers(0, 40, n), "mention": pa.array([f"m{x % 7}" for x in mention]), "freq": rng.integers(1, 9, n), "total": total, "compat": compat}
+    found = []
+    for numbers in (10**9, 1):
+        monkeypatch.setattr(thresholds, "_NUMBERS", numbers)
+        made = solve(at, mention, a, b, rel)
+        found.append(sorted(zip(*(made[c].tolist() if isinstance(made[c], np.ndarray) else made[c].to_pylist() for c in made))))
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {"frequent", "walk", "bp"}
